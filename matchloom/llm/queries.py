@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash
+from . import bpe, lines, quality, simhash
 from .common import table
 
 #: Where the public tokenizers' files are, if not named by MATCHLOOM_TOKENIZERS.
@@ -29,9 +29,19 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without the boilerplate lines of its source."""
+    return lines.line_dedup(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, repetition shares and the verdict for every document."""
+    return quality.quality_rules(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash}
+    return {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op3_lines": op3_lines, "op7_quality": op7_quality}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_lines": lines.line_dedup_sql()}

@@ -71,6 +71,13 @@ def segments(radius: int, parts: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def _ball(segment: int, key: F.Column, width: int, radius: int) -> F.Column:
+    """Array of (s, k, own): the values to look up for one segment's value; own: the value itself."""
+    masks = [sum(1 << x for x in c) for r in range(radius + 1) for c in combinations(range(width), r)]
+    near = F.filter(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: key.bitwiseAND(m.bitwiseAND(-m)) == 0)
+    return F.transform(near, lambda m: F.struct(F.lit(segment).alias("s"), key.bitwiseXOR(m).alias("k"), (m == 0).alias("own")))
+
+
 def links(fps: DataFrame, radius: int = 4, parts: int = 3) -> DataFrame:
     """Pairs (a, b) of different fingerprints that differ in at most `radius` bits, from distinct rows (fp).
 
@@ -83,10 +90,7 @@ def links(fps: DataFrame, radius: int = 4, parts: int = 3) -> DataFrame:
     for i, (shift, width, own) in enumerate(segments(radius, parts)):
         key = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
         entries.append(F.struct(F.lit(i).alias("s"), key.alias("k")))
-        masks = [sum(1 << x for x in c) for r in range(1, own + 1) for c in combinations(range(width), r)]
-        near = F.filter(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m, key=key: key.bitwiseAND(m.bitwiseAND(-m)) == 0) if masks else None
-        balls = F.array(F.lit(0).cast("long")) if near is None else F.concat(F.array(F.lit(0).cast("long")), near)
-        probes.append(F.transform(balls, lambda m, i=i, key=key: F.struct(F.lit(i).alias("s"), key.bitwiseXOR(m).alias("k"), (m == 0).alias("own"))))
+        probes.append(_ball(i, key, width, own))
     tables = fps.select(F.col("fp").alias("b"), F.inline(F.array(*entries)))
     asked = fps.select(F.col("fp").alias("a"), F.inline(F.concat(*probes)))
     close = F.expr(f"bit_count(a ^ b) <= {int(radius)} AND (NOT own OR a < b)")
