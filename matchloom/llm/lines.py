@@ -40,37 +40,38 @@ def boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int =
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """Rows (id_col, text_col, n_lines, n_dropped): each page's text without its host's boilerplate lines.
+    """docs with each page's text without its host's boilerplate lines, and columns n_lines and n_dropped.
 
     Lines are split at \\n and compared trimmed of ASCII blanks; blank lines are never boilerplate and stay; the other
     lines stay as they are, in order. A boilerplate line goes from every page of its host, the first included. A page of
     nothing but boilerplate and blanks is no furniture but a copied page: it stays whole, for near-dedup to decide. A
     null host is a host of its own. Null texts have no lines and stay null. Rows that repeat a page count as pages. An
-    empty table gives no rows; other columns play no part.
+    empty table gives no rows. Other columns of docs pass through; own columns n_lines and n_dropped are replaced.
 
     Lines over the ratio are few for a host: (lines of a page) / max_ratio, at most. There may be many hosts, so they
     are written, and Spark broadcasts them only if their size is under its threshold; else the join is by host and line,
     where a hot line is split as a skewed join. What each page loses is gathered by page, bounded by the page's lines.
     """
-    pages = docs.select(F.col(id_col).alias("id"), F.when(F.col(host_col).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(host_col))).alias("host"), F.col(text_col).alias("text"))
+    host = F.when(F.col(host_col).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(host_col)))
+    pages = docs.select(F.col(id_col).alias("id"), host.alias("host"), F.col(text_col).alias("text"))
     bad = cut(boilerplate(pages, max_ratio, min_pages).select("host", "k1", "k2"))
     hit = (
         pages.select("id", "host", F.inline(_page_keys()))
         .join(bad, ["host", "k1", "k2"])
-        .groupBy(F.col("id").alias("hit_id"), F.col("host").alias("hit_host"))
-        .agg(F.collect_set(F.struct("k1", "k2")).alias("gone"))
+        .groupBy(F.col("id").alias("_hit_id"), F.col("host").alias("_hit_host"))
+        .agg(F.collect_set(F.struct("k1", "k2")).alias("_gone"))
     )
-    joined = pages.join(hit, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("host") == F.col("hit_host")), "left")
-    lines = F.split("text", "\n")
-    stay = F.filter(lines, lambda x: ~F.array_contains("gone", _key(_trimmed(x))))
+    joined = docs.join(hit, docs[id_col].eqNullSafe(hit["_hit_id"]) & (host == hit["_hit_host"]), "left")
+    lines = F.split(text_col, "\n")
+    stay = F.filter(lines, lambda x: ~F.array_contains("_gone", _key(_trimmed(x))))
     some = F.exists(stay, lambda x: _trimmed(x) != "")
-    stay = F.when(F.col("gone").isNotNull() & some, stay).otherwise(lines)
-    return joined.select("id", "text", lines.alias("lines"), stay.alias("stay")).select(
-        F.col("id").alias(id_col),
-        F.array_join("stay", "\n").alias(text_col),
-        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("lines") - F.size("stay"), F.lit(0)).cast("long").alias("n_dropped"),
-    )
+    stay = F.when(F.col("_gone").isNotNull() & some, stay).otherwise(lines)
+    done = joined.withColumns({"_lines": lines, "_stay": stay}).withColumns({
+        text_col: F.array_join("_stay", "\n"),
+        "n_lines": F.coalesce(F.size("_lines"), F.lit(0)).cast("long"),
+        "n_dropped": F.coalesce(F.size("_lines") - F.size("_stay"), F.lit(0)).cast("long"),
+    })
+    return done.drop("_hit_id", "_hit_host", "_gone", "_lines", "_stay")
 
 
 def line_dedup_sql(table: str = "documents", id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> str:

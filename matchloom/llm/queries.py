@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, quality, simhash
+from . import bpe, chat, licenses, lines, mixing, quality, simhash, vectors, warc
 from .common import table
 
 #: Where the public tokenizers' files are, if not named by MATCHLOOM_TOKENIZERS.
@@ -31,7 +31,18 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text without the boilerplate lines of its source."""
-    return lines.line_dedup(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    return lines.line_dedup(table(spark, sf_dir, "documents", "doc_id", "text", "source")).drop("source")
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, probability and sample of every document."""
+    return mixing.mixed(table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record per page, written to packages and read back from them."""
+    packages = warc.write_archives(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return warc.read_archives(packages, payloads=False).drop("url")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,9 +50,32 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best licence match of every document."""
+    return licenses.license_scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every participant's view of every conversation."""
+    return chat.rotate_perspectives(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op3_lines": op3_lines, "op7_quality": op7_quality}
+    return {f.__name__: f for f in (op1_bpe, op2_simhash, op3_lines, op4_mixing, op5_warc, op7_quality, op8_vectors, op9_licenses, op10_chat)}
+
+
+WARC_SQL = f"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS n, sha256(coalesce(html, '')) AS d FROM pages WHERE page_id IS NOT NULL),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN n >= {warc.LEAST_REVISIT} AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN n >= {warc.LEAST_REVISIT} AND page_id <> first THEN first END AS refers_to FROM f
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_lines": lines.line_dedup_sql()}
+    return {"op3_lines": lines.line_dedup_sql(), "op4_mixing": mixing.mixed_sql(), "op5_warc": WARC_SQL, "op9_licenses": licenses.license_sql(), "op10_chat": chat.rotate_sql()}
