@@ -61,7 +61,7 @@ people AS (SELECT DISTINCT c AS pc, r AS speaker FROM t WHERE r <> '{SYSTEM}'),
 v AS (SELECT c, speaker, part, n, r, x, r = speaker AS mine, '{BEGIN}' || CASE WHEN r = speaker THEN 'assistant' WHEN r = '{SYSTEM}' THEN '{SYSTEM}' ELSE 'user name=' || r END || chr(10) AS h
         FROM t JOIN people ON c IS NOT DISTINCT FROM pc),
 o AS (SELECT *, row_number() OVER (PARTITION BY c, speaker, part ORDER BY n NULLS LAST, r, x) AS k FROM v),
-s AS (SELECT *, coalesce(sum(length(h) + length(x) + {len(END)}) OVER (PARTITION BY c, speaker, part ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + length(h) AS at FROM o)
+s AS (SELECT *, coalesce(sum(length(h) + length(x) + {len(END)}) OVER (PARTITION BY c, speaker, part ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + length(h) AS pos FROM o)
 SELECT c AS conv_id, speaker, part, count(*) AS n_turns, count(*) FILTER (mine) AS n_own, string_agg(h || x || '<|im_end|>' || chr(10), '' ORDER BY k) AS rendered,
-        coalesce(string_agg(at || '-' || (at + length(x)), ';' ORDER BY k) FILTER (mine), '') AS mask FROM s GROUP BY c, speaker, part
+        coalesce(string_agg(pos::VARCHAR || '-' || (pos + length(x))::VARCHAR, ';' ORDER BY k) FILTER (mine), '') AS mask FROM s GROUP BY c, speaker, part
 """

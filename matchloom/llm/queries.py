@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licenses, lines, mixing, quality, simhash, vectors, warc
+from . import bpe, chat, licenses, lines, mixing, quality, simhash, toxicity, vectors, warc
 from .common import table
 
 #: Where the public tokenizers' files are, if not named by MATCHLOOM_TOKENIZERS.
@@ -45,6 +45,15 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(packages, payloads=False).drop("url")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels of those that aren't held out."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    held = lambda: F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels", "doc_id", "toxic").where(~held()))
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", F.coalesce(held(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_toxic", "spans")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, repetition shares and the verdict for every document."""
     return quality.quality_rules(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -66,7 +75,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_simhash, op3_lines, op4_mixing, op5_warc, op7_quality, op8_vectors, op9_licenses, op10_chat)}
+    return {f.__name__: f for f in (op1_bpe, op2_simhash, op3_lines, op4_mixing, op5_warc, op6_toxicity, op7_quality, op8_vectors, op9_licenses, op10_chat)}
 
 
 WARC_SQL = f"""
