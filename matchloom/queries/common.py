@@ -29,14 +29,14 @@ def query(sql: str | None = None):
 
 
 def plain(df: DataFrame) -> DataFrame:
-    """Whole numbers as long, fractions at six digits, arrays joined by blanks."""
+    """Whole numbers as long, fractions at nine digits, arrays joined by blanks."""
     cols = []
     for name, kind in df.dtypes:
         c = F.col(f"`{name}`")
         if kind in ("int", "smallint", "tinyint") or kind.startswith("decimal"):
             c = c.cast("long")
         elif kind in ("double", "float"):
-            c = F.round(c, 6) + F.lit(0.0)  # no negative zero
+            c = F.round(c + F.lit(1e-12), 9) + F.lit(0.0)  # no negative zero
         elif kind == "array<string>":
             c = F.array_join(c, " ")
         cols.append(c.alias(name))
@@ -44,4 +44,4 @@ def plain(df: DataFrame) -> DataFrame:
 
 
 def r(x: str) -> str:
-    return f"(round({x}, 6) + 0.0)"
+    return f"(round({x} + 1e-12, 9) + 0.0)"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -63,8 +64,8 @@ DOCS, PARTS = (fx.DOC_RECORDS, prepared_sql("doc_records")), (fx.PART_RECORDS, p
 
 
 def scratch(spark, name: str) -> str:
-    """A folder of this run in the folder that the cluster shares."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A folder of this run in the folder that the cluster shares; a temporary one only where the session names none."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="matchloom-")
     return f"{named.rstrip('/')}/matchloom-{name}-{uuid.uuid4().hex}"
 
 
@@ -369,7 +370,7 @@ def f1_string_scores(spark, sf_dir):
     return p.select("s1", "t", *[c for c in p.columns if c.rsplit("_", 1)[-1] in ("ratio", "tset", "tsort", "part", "jw", "best")])
 
 
-@query("SELECT a.n_name AS a, b.n_name AS b, (round(jaro_winkler_similarity(a.n_name, b.n_name), 6) + 0.0) AS jw, levenshtein(a.n_name, b.n_name) AS lev FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")
+@query("SELECT a.n_name AS a, b.n_name AS b, (round(jaro_winkler_similarity(a.n_name, b.n_name) + 1e-12, 9) + 0.0) AS jw, levenshtein(a.n_name, b.n_name) AS lev FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")
 def f5_jaro_winkler(spark, sf_dir):
     """Jaro-Winkler similarity of nations' names within a region."""
     n = fx.table(spark, sf_dir, "nation").select("n_name", "n_regionkey")

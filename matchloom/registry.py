@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import records
+from .queries import pairs, records
 from .queries.common import QUERIES, SQL, Query
 
-MODULES = (records,)
+MODULES = (records, pairs)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
