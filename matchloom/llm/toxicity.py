@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, text_batches
+from .simhash import fingerprint
 
 #: Bounds of what is learned from: documents of each label, and characters of a document that may be among them.
 SAMPLE_DOCS, SAMPLE_CHARS = 1500, 4000
@@ -24,7 +25,7 @@ PRECISION = 0.9
 #: Lengths of stems.
 STEMS = (4, 5)
 #: Steps of gradient ascent, their size, and the weight of the penalty.
-STEPS, RATE, PENALTY = 40, 0.5, 1e-3
+STEPS, RATE, PENALTY = 60, 0.5, 3e-4
 #: A token is part of an offending span at this marginal.
 SPAN = 0.5
 #: Words whose weights a worker keeps.
@@ -157,8 +158,9 @@ class Model:
 
 
 def _summary(p: np.ndarray) -> np.ndarray:
-    """What a score sees of a text: one, its expected toxic tokens (log), its largest marginal."""
-    return np.array([1.0, np.log1p(p.sum()), p.max()]) if len(p) else np.array([1.0, 0.0, 0.0])
+    """What a score sees of a text: one, its clearly toxic tokens (log of the sum of squares, so that length alone says nothing),
+    its largest marginal."""
+    return np.array([1.0, np.log1p((p * p).sum()), p.max()]) if len(p) else np.array([1.0, 0.0, 0.0])
 
 
 def _ratio(t: int, n: int, nt: int, nn: int) -> float:
@@ -171,22 +173,46 @@ def _ratio(t: int, n: int, nt: int, nn: int) -> float:
     return out
 
 
-def toxic_features(docs: list[list[str]], labels: np.ndarray) -> set[str]:
-    """Words and stems that the labels show to make documents toxic: tokens get their labels from these."""
+def families(texts: list[str], distance: int = 12) -> np.ndarray:
+    """A number per text that near copies share: word shingles' fingerprints within a distance, which other texts are far beyond.
+
+    Brute force over the bounded sample. Copies must count once: else the words of a much copied text seem evidence.
+    """
+    fp = np.array([fingerprint(t) for t in texts], np.uint64)
+    group = np.arange(len(fp))
+    for i in range(len(fp)):
+        near = np.flatnonzero(np.bitwise_count(fp[i] ^ fp[:i]) <= distance)
+        if len(near):
+            group[i] = group[near[0]]
+    return group
+
+
+def toxic_features(docs: list[list[str]], labels: np.ndarray, family: np.ndarray | None = None) -> set[str]:
+    """Words and stems that the labels show to make documents toxic: tokens get their labels from these.
+
+    A feature counts once for each family of documents.
+    """
+    family = np.arange(len(docs)) if family is None else family
+    have: dict[tuple[int, int], set[str]] = {}
+    for words, y, f in zip(docs, labels.tolist(), family.tolist()):
+        have.setdefault((f, y), set()).update(x for w in set(words) for x in features(w))
     toxic, clean = Counter(), Counter()
-    for words, y in zip(docs, labels):
-        (toxic if y else clean).update({f for w in set(words) for f in features(w)})
-    nt, nn = int(labels.sum()), int((1 - labels).sum())
+    for (_, y), fs in have.items():
+        (toxic if y else clean).update(fs)
+    nt, nn = sum(y for _, y in have), sum(1 - y for _, y in have)
     if not nt or not nn:
         return set()
     rate = lambda f: (toxic[f] / nt) / (toxic[f] / nt + clean[f] / nn)
     return {f for f, t in toxic.items() if t > 2 and rate(f) >= PRECISION and _ratio(t, clean[f], nt, nn) >= EVIDENCE}
 
 
-def fit_model(texts: list[str], labels: list[int]) -> Model:
-    """The model of labelled texts. No toxic or no clean text, or no word that tells them apart: a score near 0 for all."""
+def fit_model(texts: list[str], labels: list[int], prior: float = 0.5) -> Model:
+    """The model of labelled texts; prior: the share of toxic ones among all, of which texts may hold more.
+
+    No toxic or no clean text, or no word that tells them apart: a score near 0 for all.
+    """
     docs, y = [words_of(t) for t in texts], np.array(labels, np.int64)
-    marks = toxic_features(docs, y)
+    marks = toxic_features(docs, y, families(texts))
     if not marks:
         return Model()
     index: dict[str, int] = {}
@@ -237,11 +263,11 @@ def fit_model(texts: list[str], labels: list[int]) -> Model:
         else:
             model.own[f] = float(w[i])
     x = np.array([_summary(p) for p in model.marginals(docs)])
-    scale, weight = np.zeros(3), np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+    scale, weight = np.zeros(3), np.where(y == 1, prior / max(1, y.sum()), (1 - prior) / max(1, (1 - y).sum()))
     for _ in range(50):  # Newton's steps of a penalised logistic regression
         p = 1 / (1 + np.exp(-np.clip(x @ scale, -30, 30)))
-        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(3)
-        scale = scale + np.linalg.solve(hess, x.T @ (weight * (y - p)) - 1e-3 * scale)
+        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(3)
+        scale = scale + np.linalg.solve(hess, x.T @ (weight * (y - p)) - 1e-4 * scale)
     model.scale = scale
     return model
 
@@ -266,7 +292,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 def fit_toxicity(docs: DataFrame, labels: DataFrame, **options) -> Model:
     """The model, learned on the driver from a bounded sample (see SAMPLE_DOCS and SAMPLE_CHARS) of labelled documents."""
     rows = sorted({(r.id, r.text, r.y) for r in training_rows(docs, labels, **options).collect()})
-    return fit_model([r[1] for r in rows], [r[2] for r in rows])
+    label = F.col(options.get("label_col", "toxic")).cast("double")
+    prior = labels.agg(F.avg(label)).first()[0]
+    return fit_model([r[1] for r in rows], [r[2] for r in rows], 0.5 if prior is None else prior)
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
