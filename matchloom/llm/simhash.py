@@ -15,6 +15,8 @@ from .common import cut, text_batches
 from .graph import connected_components
 
 BITS = 64
+#: Fingerprints of one segment value that are compared by a plain join; beyond, by pairs of blocks of that size.
+BUCKET = 512
 #: Shingles whose bits are counted at once, so that a very long text needs little memory.
 BLOCK = 1 << 16
 
@@ -79,7 +81,8 @@ def _ball(segment: int, key: F.Column, width: int, radius: int) -> F.Column:
 
 
 def links(fps: DataFrame, radius: int = 4, parts: int = 3) -> DataFrame:
-    """Pairs (a, b) of different fingerprints that differ in at most `radius` bits, from distinct rows (fp).
+    """Pairs (a, b) of different fingerprints that differ in at most `radius` bits, from distinct rows (fp); in buckets of
+    more than BUCKET rows only a forest that connects the same.
 
     Multi-index hashing: each segment's value is a table; a fingerprint looks up every value in a small Hamming ball
     around its own, and whole distances are verified inside the join. A ball's mask is probed only by the side that has
@@ -93,8 +96,50 @@ def links(fps: DataFrame, radius: int = 4, parts: int = 3) -> DataFrame:
         probes.append(_ball(i, key, width, own))
     tables = fps.select(F.col("fp").alias("b"), F.inline(F.array(*entries)))
     asked = fps.select(F.col("fp").alias("a"), F.inline(F.concat(*probes)))
+    hot = cut(tables.groupBy("s", "k").agg(F.count("*").alias("size")).where(F.col("size") > BUCKET))
     close = F.expr(f"bit_count(a ^ b) <= {int(radius)} AND (NOT own OR a < b)")
-    return asked.join(tables.hint("merge"), ["s", "k"]).where(close).select("a", "b")
+    key = ["s", "k"]
+    plain = asked.join(hot, key, "left_anti").join(tables.join(hot, key, "left_anti").hint("merge"), key).where(close).select("a", "b")
+    if not hot.take(1):
+        return plain
+    return plain.unionByName(_hot_links(asked.join(hot, key), tables.join(hot, key), radius))
+
+
+def _hot_links(asked: DataFrame, tables: DataFrame, radius: int) -> DataFrame:
+    """Links that connect what all links within large buckets connect, from rows with the bucket's size.
+
+    Both sides of a bucket are dealt into blocks of BUCKET rows or so, and each pair of blocks is compared by one task. It
+    returns no pairs but, for each fingerprint that is linked in it, the smallest that is linked to it within the two
+    blocks, directly or not: a forest, one row per fingerprint. So a dense bucket's output is in proportion to its rows.
+    """
+    n = F.ceil(F.col("size") / BUCKET).cast("int")
+    block = lambda c: F.pmod(F.xxhash64(c), n).cast("int")
+    every = F.explode(F.sequence(F.lit(0), n - 1))
+    left = asked.select("s", "k", F.col("a").alias("fp"), F.lit(True).alias("asks"), block("a").alias("x"), every.alias("y"))
+    right = tables.select("s", "k", F.col("b").alias("fp"), F.lit(False).alias("asks"), every.alias("x"), block("b").alias("y"))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        a, b = (g.loc[g["asks"] == side, "fp"].drop_duplicates().to_numpy(np.int64) for side in (True, False))
+        near = np.bitwise_count(a.view(np.uint64)[:, None] ^ b.view(np.uint64)[None, :]) <= radius
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        ai, bi, root = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+        todo = near.any(axis=1)
+        while todo.any():  # breadth first over both sides
+            front = np.zeros(len(a), bool)
+            front[np.argmax(todo)] = True
+            seen_a, seen_b = front.copy(), np.zeros(len(b), bool)
+            while front.any():
+                new_b = near[front].any(axis=0) & ~seen_b
+                seen_b |= new_b
+                front = near[:, new_b].any(axis=1) & ~seen_a
+                seen_a |= front
+            own = np.concatenate([ai[seen_a], bi[seen_b]])
+            root[own] = own.min()
+            todo &= ~seen_a
+        linked = root != np.arange(len(nodes))
+        return pd.DataFrame({"a": nodes[linked], "b": nodes[root[linked]]})
+
+    return left.unionByName(right).groupBy("s", "k", "x", "y").applyInPandas(run, "a long, b long")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, width: int = 4, seed: int = 42, parts: int = 3) -> DataFrame:

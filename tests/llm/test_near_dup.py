@@ -65,6 +65,29 @@ def test_links_are_exact(spark, parts):
     assert got == want
 
 
+def test_large_buckets_keep_the_components(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET", 8)
+    rnd = random.Random(9)
+    fps = set()
+    for _ in range(4):
+        x = rnd.getrandbits(64)
+        for _ in range(120):
+            y = x
+            for bit in rnd.sample(range(64), rnd.randrange(1, 9)):
+                y ^= 1 << bit
+            fps.add(y)
+    fps = sorted(fps)
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    order = sorted(range(len(fps)), key=signed.__getitem__)
+    f, z = [fps[i] for i in order], [signed[i] for i in order]
+    pairs = [(i, j) for i in range(len(f)) for j in range(i) if bin(f[i] ^ f[j]).count("1") <= 4]
+    want = union(len(f), pairs)
+    found = simhash.links(spark.createDataFrame([(x,) for x in z], "fp long"), 4, 3)
+    got = {r.node: r.component for r in graph.connected_components(found).collect()}
+    linked = {i for p in pairs for i in p}
+    assert got == {z[i]: z[want[i]] for i in linked}
+
+
 def test_segments_are_enough():
     for radius in range(7):
         for parts in range(1, 6):
