@@ -32,12 +32,12 @@ def test_components(spark):
     assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def slow_fingerprint(text):
+def slow_fingerprint(text, width=4):
     words = "".join(c.lower() if c.isascii() else c for c in text or "")
     for blank in "\t\n\x0b\x0c\r":
         words = words.replace(blank, " ")
     words = [w for w in words.split(" ") if w]
-    grams = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+    grams = [" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
     h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
     return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
 

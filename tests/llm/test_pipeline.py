@@ -35,7 +35,7 @@ def slow(rows):
     con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", rows)
     text = {r[0]: r[1] for r in con.execute(f"SELECT doc_id, text FROM ({lines.line_dedup_sql()})").fetchall()}
     rows = [(r[0], text[r[0]], *r[2:4], len(text[r[0]]) if text[r[0]] != r[1] else r[4]) for r in rows]
-    fp = [slow_fingerprint(r[1]) for r in rows]
+    fp = [slow_fingerprint(r[1], 5) for r in rows]
     root = union(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if bin(fp[i] ^ fp[j]).count("1") <= 4])
     rows = [r for i, r in enumerate(rows) if root[i] == i]
     con.execute("DELETE FROM documents")
