@@ -28,9 +28,9 @@ def topic_by_length(n_tokens: F.Column) -> F.Column:
     return out
 
 
-def _folded(column: str, targets: dict[str, float]) -> F.Column:
+def _folded(value: F.Column, targets: dict[str, float]) -> F.Column:
     """The value if it has a share of its own, else "*"; so cells are as few as targets, whatever the data hold."""
-    return F.when(F.col(column).isin([k for k in targets if k != "*"]), F.col(column)).otherwise("*")
+    return F.when(value.isin([k for k in targets if k != "*"]), value).otherwise("*")
 
 
 def rake(cells: dict[tuple[str, ...], float], targets: list[dict[str, float]], rounds: int = ROUNDS) -> dict[tuple[str, ...], float]:
@@ -60,25 +60,36 @@ def uniform(id_col: str, seed: str) -> F.Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary")), 1, 15), 16, 10).cast("long") / F.lit(float(HASH_RANGE))
 
 
+def _cell(text_col: str, source_col: str, lang_col: str, topic_col: str | None, sources: dict, languages: dict, topics: dict) -> tuple[F.Column, list[F.Column]]:
+    """A row's tokens, and the source, language and topic of its cell."""
+    n = words_count(text_col)
+    topic = F.col(topic_col) if topic_col else topic_by_length(n)
+    return n, [_folded(F.col(source_col), sources), _folded(F.col(lang_col), languages), _folded(topic, topics)]
+
+
+def _weight(rows: DataFrame, n: F.Column, cell: list[F.Column], targets: list[dict[str, float]]) -> F.Column:
+    """The raked weight of a row's cell. Cells' token counts are combined before the shuffle; only they, as few as the
+    parameters allow, reach the driver, are raked there, and return as literals."""
+    counted = rows.select(n.alias("n"), *(c.alias(k) for k, c in zip("slt", cell))).groupBy("s", "l", "t").agg(F.sum("n").alias("n"))
+    weights = rake({(r.s, r.l, r.t): r.n for r in counted.collect()}, targets)
+    if not weights:
+        return F.lit(1.0)
+    table = F.create_map(*[F.lit(x) for c, w in sorted(weights.items()) for x in ("\x1f".join(c), float(w))])
+    return F.coalesce(table[F.concat_ws("\x1f", *cell)], F.lit(0.0))
+
+
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, sources: dict = SOURCES, languages: dict = LANGUAGES, topics: dict = TOPICS, rate: float = RATE, seed: str = "mix") -> DataFrame:
     """Rows (id_col, n_tokens, source, lang, topic, weight, probability, sampled), one per row of docs.
 
     Tokens are words. Values without a share of their own are one value "*", nulls too, so there are at most
-    (sources + 1)(languages + 1)(topics + 1) cells; their token counts are combined before the shuffle and only they,
-    bounded by the parameters, reach the driver, are raked there, and return as literals. A document is sampled with
-    probability min(1, rate * weight), its cell's weight being the wanted over the present share of tokens, by a hash of its
-    id: rows that repeat an id share its fate. Texts without words weigh like the others of their cell. An empty table
+    (sources + 1)(languages + 1)(topics + 1) cells. A document is sampled with probability min(1, rate * weight), its
+    cell's weight being the wanted over the present share of tokens, by a hash of its id: rows that repeat an id have the
+    same draw, thus the same fate within a cell. Texts without words weigh like the others of their cell. An empty table
     gives no rows; other columns play no part.
     """
-    n = words_count(text_col)
-    d = docs.select(F.col(id_col).alias("id"), n.alias("n_tokens"), F.col(source_col).alias("s"), F.col(lang_col).alias("l"), *([F.col(topic_col).alias("t")] if topic_col else []))
-    d = d if topic_col else d.withColumn("t", topic_by_length(F.col("n_tokens")))
-    d = cut(d.select("id", "n_tokens", _folded("s", sources).alias("s"), _folded("l", languages).alias("l"), _folded("t", topics).alias("t")))
-    cells = {(r.s, r.l, r.t): r.n for r in d.groupBy("s", "l", "t").agg(F.sum("n_tokens").alias("n")).collect()}
-    weights = rake(cells, [sources, languages, topics])
-    key = F.concat_ws("\x1f", "s", "l", "t")
-    table = F.create_map(*[F.lit(x) for c, w in sorted(weights.items()) for x in ("\x1f".join(c), float(w))]) if weights else None
-    weight = F.lit(1.0) if table is None else F.coalesce(table[key], F.lit(0.0))
+    n, cell = _cell(text_col, source_col, lang_col, topic_col, sources, languages, topics)
+    d = cut(docs.select(F.col(id_col).alias("id"), n.alias("n_tokens"), *(c.alias(k) for k, c in zip("slt", cell))))
+    weight = _weight(d, F.col("n_tokens"), [F.col(k) for k in "slt"], [sources, languages, topics])
     p = F.least(F.lit(1.0), F.lit(rate) * F.col("weight"))
     return d.withColumn("weight", weight).select(
         F.col("id").alias(id_col), "n_tokens", F.col("s").alias("source"), F.col("l").alias("lang"), F.col("t").alias("topic"),
@@ -86,10 +97,15 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     )
 
 
-def mix_filter(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs, unchanged, that the sample takes."""
-    taken = mixed(docs, id_col, **options).where("sampled").select(F.col(id_col).alias("_taken")).distinct()
-    return docs.join(taken, F.col(id_col).eqNullSafe(F.col("_taken")), "left_semi")
+def mix_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, sources: dict = SOURCES, languages: dict = LANGUAGES, topics: dict = TOPICS, rate: float = RATE, seed: str = "mix") -> DataFrame:
+    """The rows of docs, unchanged, that the sample takes: those that mixed() marks.
+
+    A row's draw depends on nothing but its own columns and the cells' weights, so texts are filtered where they are read
+    and never shuffled or joined.
+    """
+    n, cell = _cell(text_col, source_col, lang_col, topic_col, sources, languages, topics)
+    weight = _weight(docs, n, cell, [sources, languages, topics])
+    return docs.where(uniform(id_col, seed) < F.least(F.lit(1.0), F.lit(rate) * weight))
 
 
 def mixed_sql(table: str = "documents", sources: dict = SOURCES, languages: dict = LANGUAGES, topics: dict = TOPICS, rate: float = RATE, seed: str = "mix", rounds: int = ROUNDS) -> str:

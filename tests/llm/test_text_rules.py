@@ -47,6 +47,7 @@ def test_mixing(spark):
     assert by_spark(mixing.mixed(df)) == by_sql({"documents": ("doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR", kept)}, mixing.mixed_sql())
     assert mixing.mixed(df.limit(0)).count() == 0 and mixing.mix_filter(df.limit(0)).count() == 0
     assert sorted(r.doc_id for r in mixing.mix_filter(df).collect()) == sorted(r.doc_id for r in mixing.mixed(df).where("sampled").collect())
+    assert mixing.mix_filter(df).columns == df.columns and "Exchange" not in mixing.mix_filter(df)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_raking_meets_the_margins():
