@@ -63,8 +63,9 @@ def uniform(id_col: str, seed: str) -> F.Column:
 def _cell(text_col: str, source_col: str, lang_col: str, topic_col: str | None, sources: dict, languages: dict, topics: dict) -> tuple[F.Column, list[F.Column]]:
     """A row's tokens, and the source, language and topic of its cell."""
     n = words_count(text_col)
-    topic = F.col(topic_col) if topic_col else topic_by_length(n)
-    return n, [_folded(F.col(source_col), sources), _folded(F.col(lang_col), languages), _folded(topic, topics)]
+    # the words are counted once for all comparisons, as the lambda's variable
+    topic = _folded(F.col(topic_col), topics) if topic_col else F.transform(F.array(n), lambda k: _folded(topic_by_length(k), topics))[0]
+    return n, [_folded(F.col(source_col), sources), _folded(F.col(lang_col), languages), topic]
 
 
 def _weight(rows: DataFrame, n: F.Column, cell: list[F.Column], targets: list[dict[str, float]]) -> F.Column:
