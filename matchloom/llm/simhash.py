@@ -21,25 +21,32 @@ BUCKET = 512
 BLOCK = 1 << 16
 
 
-def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
-    """Majority of the bits of all shingles' hashes; no words: 0."""
+def shingle_hashes(text: str | None, width: int = 4, seed: int = 42) -> Iterator[np.ndarray]:
+    """Blocks of the hashes of all shingles; fewer words than a shingle has: of all words; no words: none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z, and the six ASCII blanks, only
     n = len(words)
     if not n:
-        return 0
+        return
     joined = b" ".join(words)
     if n <= width:
-        return xxhash.xxh64_intdigest(joined, seed)
+        yield np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
+        return
     length = np.fromiter(map(len, words), np.int64, n)
     end = np.cumsum(length + 1) - 1
     start = (end - length)[: n - width + 1].tolist()
     end = end[width - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(BITS, np.int64)
     for i in range(0, len(start), BLOCK):
-        h = np.array([digest(joined[s:e], seed) for s, e in zip(start[i : i + BLOCK], end[i : i + BLOCK])], ">u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(start)).tobytes(), "big")
+        yield np.array([digest(joined[s:e], seed) for s, e in zip(start[i : i + BLOCK], end[i : i + BLOCK])], np.uint64)
+
+
+def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
+    """Majority of the bits of all shingles' hashes; no words: 0."""
+    ones, n = np.zeros(BITS, np.int64), 0
+    for h in shingle_hashes(text, width, seed):
+        ones += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(h)
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
 def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int = 4, seed: int = 42) -> DataFrame:
@@ -166,6 +173,10 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Rows that repeat an id stay or go together; rows with a null id go if their component has an id, else they stay.
     """
-    c = simhash_components(docs, id_col, text_col, **options)
-    keep = c.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
+    return kept(docs, simhash_components(docs, id_col, text_col, **options), id_col)
+
+
+def kept(docs: DataFrame, components: DataFrame, id_col: str) -> DataFrame:
+    """The rows of docs whose id is the smallest of its component, from rows (id_col, component_id)."""
+    keep = components.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
     return docs.join(keep, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from matchloom.llm import graph, simhash, vectors
+import corpus_pipeline
+from matchloom.llm import graph, overlap, simhash, vectors
 
 
 def union(n, links):
@@ -143,3 +144,44 @@ def test_vectors(spark, monkeypatch, block):
     assert sum(g[0] for g in got.values()) >= 0.98 * sum(w[0] for w in want.values())
     assert sum(got[i][1] == want[i][1] for i in want) >= 0.98 * len(want)
     assert vectors.near_vectors(df.limit(0)).count() == 0
+
+
+def slow_shingles(text, width=5):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def test_overlap_links_every_pair_of_similarity_08(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "GROUP", 8)
+    rnd = random.Random(5)
+    words = [f"{a}{b}" for a in "bcdfghk" for b in "aeiou"]
+    texts = []
+    for i in range(40):
+        base = [rnd.choice(words) + rnd.choice(words) for _ in range(rnd.choice([30, 80, 200]))]
+        for changed in (0, 1, 2, 3, 5):
+            copy = list(base)
+            for at in rnd.sample(range(len(base)), changed):
+                copy[at] = f"new{rnd.random()}"
+            texts.append(" ".join(copy))
+    body = [rnd.choice(words) + rnd.choice(words) for _ in range(120)]
+    texts += [" ".join([*body[:60], f"v{i}", *body[60:]]) for i in range(40)] + [texts[3].upper().replace(" ", "\n")] + ["one two", "One two", "", None, "three"]
+    sets = [slow_shingles(t) for t in texts]
+    near = lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b)
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if near(sets[i], sets[j])]
+    fp = [slow_fingerprint(t, 5) for t in texts]
+    assert sum((fp[i] ^ fp[j]).bit_count() > 4 for i, j in pairs) > 50  # what SimHash within 4 bits leaves
+    want = union(len(texts), pairs)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in overlap.overlap_components(df).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    left = {r.doc_id for r in corpus_pipeline.near_dedup(spark, df.selectExpr("*", "'en' AS lang", "'a' AS source", "1L AS n_chars"), "").collect()}
+    assert left == set(want)
+
+
+def test_overlap_ids(spark):
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(1, 61))
+    rows = [(None, a), (None, b), (7, "other words stand here in a row"), (7, a + " more")]
+    got = [(r.doc_id, r.component_id) for r in overlap.overlap_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == [(7, 7), (7, 7), (None, 7), (None, 7)]
+    got = overlap.overlap_components(spark.createDataFrame(rows[:2], "doc_id long, text string")).collect()
+    assert [tuple(r) for r in got] == [(None, None)] * 2
