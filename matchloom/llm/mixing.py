@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,8 @@ ROUNDS = 12
 RATE = 0.8
 TOPIC_BOUNDS = (("short", 100), ("medium", 700))
 HASH_RANGE = 1 << 60
+#: Of a bounded sample: how far a margin's share may be from its target, and the rounds to come there.
+CLOSE, MOST_ROUNDS = 1e-4, 1000
 
 
 def topic_by_length(n_tokens: F.Column) -> F.Column:
@@ -55,6 +60,54 @@ def rake(cells: dict[tuple[str, ...], float], targets: list[dict[str, float]], r
     return {c: weight[c] / n if n else 0.0 for c, n in cells.items()}
 
 
+def rake_bounded(cells: dict[tuple[str, ...], float], targets: list[dict[str, float]], rate: float = RATE) -> dict[tuple[str, ...], float]:
+    """Probabilities of the cells, so that the expected sample has the targets' marginals although none exceeds 1.
+
+    The sample is as large as that allows, up to the rate: its share of all tokens is found by bisection, and for each
+    share cells are raked and capped at what they hold, in turn, until each margin is within CLOSE of its target. Shares of
+    values that have no tokens are left out, as in rake(). Targets that no sample has, as cells are missing, raise a
+    warning that tells the distance; the sample is then the one that came nearest.
+    """
+    names = [c for c, n in sorted(cells.items()) if n and all(c[axis] in share for axis, share in enumerate(targets))]
+    if not names:
+        return {c: 0.0 if any(cells.values()) else min(1.0, rate) for c in cells}
+    held = np.array([cells[c] for c in names], float)
+    held /= sum(cells.values())
+    axes = []
+    for axis, share in enumerate(targets):
+        values = sorted({c[axis] for c in names})
+        wanted = np.array([share[v] for v in values], float)
+        axes.append((np.array([values.index(c[axis]) for c in names]), wanted / wanted.sum()))
+
+    def fit(total: float) -> tuple[float, np.ndarray]:
+        s, off = held * total, np.inf
+        for _ in range(MOST_ROUNDS):
+            for at, wanted in axes:
+                m = np.bincount(at, s, len(wanted))
+                s = np.minimum(s * np.divide(wanted * total, m, out=np.zeros_like(m), where=m > 0)[at], held)
+            off = max(np.abs(np.bincount(at, s, len(wanted)) / s.sum() - wanted).max() for at, wanted in axes) if s.sum() else np.inf
+            off = max(off, abs(s.sum() / total - 1))
+            if off <= CLOSE:
+                break
+        return off, s
+
+    high = min([rate, *(float((np.bincount(at, held, len(w))[w > 0] / w[w > 0]).min()) for at, w in axes)])
+    off, s = fit(high)
+    if off > CLOSE:
+        low, best = 0.0, (off, s)
+        for _ in range(20):
+            middle = (low + high) / 2
+            tried = fit(middle)
+            if tried[0] <= CLOSE:
+                low, best = middle, tried
+            else:
+                high, best = middle, min(best, tried, key=lambda x: x[0])
+        off, s = best
+        if off > CLOSE:
+            warnings.warn(f"no sample has the wanted marginals: the nearest is {off:.3g} off", stacklevel=2)
+    return {c: 0.0 for c in cells} | dict(zip(names, (s / held).tolist()))
+
+
 def uniform(id_col: str, seed: str) -> F.Column:
     """A number in [0, 1) that only the id and the seed decide, as md5 in any engine gives it."""
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary")), 1, 15), 16, 10).cast("long") / F.lit(float(HASH_RANGE))
@@ -68,11 +121,12 @@ def _cell(text_col: str, source_col: str, lang_col: str, topic_col: str | None,
     return n, [_folded(F.col(source_col), sources), _folded(F.col(lang_col), languages), topic]
 
 
-def _weight(rows: DataFrame, n: F.Column, cell: list[F.Column], targets: list[dict[str, float]]) -> F.Column:
+def _weight(rows: DataFrame, n: F.Column, cell: list[F.Column], targets: list[dict[str, float]], bounded_at: float | None = None) -> F.Column:
     """The raked weight of a row's cell. Cells' token counts are combined before the shuffle; only they, as few as the
-    parameters allow, reach the driver, are raked there, and return as literals."""
+    parameters allow, reach the driver, are raked there, and return as literals. With bounded_at, a rate: what gives rake_bounded()'s."""
     counted = rows.select(n.alias("n"), *(c.alias(k) for k, c in zip("slt", cell))).groupBy("s", "l", "t").agg(F.sum("n").alias("n"))
-    weights = rake({(r.s, r.l, r.t): r.n for r in counted.collect()}, targets)
+    cells = {(r.s, r.l, r.t): r.n for r in counted.collect()}
+    weights = {c: p / bounded_at for c, p in rake_bounded(cells, targets, bounded_at).items()} if bounded_at else rake(cells, targets)
     if not weights:
         return F.lit(1.0)
     table = F.create_map(*[F.lit(x) for c, w in sorted(weights.items()) for x in ("\x1f".join(c), float(w))])
@@ -98,14 +152,15 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     )
 
 
-def mix_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, sources: dict = SOURCES, languages: dict = LANGUAGES, topics: dict = TOPICS, rate: float = RATE, seed: str = "mix") -> DataFrame:
-    """The rows of docs, unchanged, that the sample takes: those that mixed() marks.
+def mix_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, sources: dict = SOURCES, languages: dict = LANGUAGES, topics: dict = TOPICS, rate: float = RATE, seed: str = "mix", bounded: bool = False) -> DataFrame:
+    """The rows of docs, unchanged, that the sample takes: those that mixed() marks, or, bounded, those of a sample that has
+    the targets' marginals and is as large as they allow, up to the rate.
 
     A row's draw depends on nothing but its own columns and the cells' weights, so texts are filtered where they are read
     and never shuffled or joined.
     """
     n, cell = _cell(text_col, source_col, lang_col, topic_col, sources, languages, topics)
-    weight = _weight(docs, n, cell, [sources, languages, topics])
+    weight = _weight(docs, n, cell, [sources, languages, topics], rate if bounded else None)
     return docs.where(uniform(id_col, seed) < F.least(F.lit(1.0), F.lit(rate) * weight))
 
 

@@ -11,7 +11,7 @@ import corpus_pipeline
 from matchloom.llm import lines, mixing
 from matchloom.llm.queries import tokenizer_path
 
-from .test_near_dup import slow_fingerprint, union
+from .test_near_dup import slow_fingerprint, slow_shingles, union
 from .test_text_rules import slow_measure
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -69,3 +69,28 @@ def test_stages_keep_the_columns(spark):
         docs = stage(spark, docs, "")
         assert docs.columns == corpus_pipeline.COLUMNS and docs.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == 0
+
+
+def slow_whole(rows):
+    """The stages as they are now: near-duplicates by exact Jaccard, and a sample with the wanted marginals."""
+    rows = [r for r in rows if not slow_measure(r[1])[5] and slow_measure(r[1])[6] and not repeated(r[1])]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?)", [r[:4] for r in rows])
+    text = {r[0]: r[1] for r in con.execute(f"SELECT doc_id, text FROM ({lines.line_dedup_sql()})").fetchall()}
+    rows = [(r[0], text[r[0]], *r[2:4]) for r in rows]
+    sets = [slow_shingles(r[1]) for r in rows]
+    root = union(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])])
+    rows = [r for i, r in enumerate(rows) if root[i] == i]
+    n = lambda r: len(r[1].split())
+    cell = lambda r: (r[3] if r[3] == "src0" else "*", r[2] or "*", "short" if n(r) < 100 else "medium" if n(r) < 700 else "long")
+    cells = {c: sum(n(r) for r in rows if cell(r) == c) for c in map(cell, rows)}
+    p = mixing.rake_bounded(cells, [mixing.SOURCES, mixing.LANGUAGES, mixing.TOPICS])
+    return [r for r in rows if int(hashlib.md5(f"mix:{r[0]}".encode()).hexdigest()[:15], 16) / 2.0**60 < p[cell(r)]]
+
+
+def test_pipeline_whole(spark, tmp_path):
+    rows = documents()
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got == {r[0] for r in slow_whole(rows)} and got

@@ -137,3 +137,34 @@ def test_chat(spark):
     assert view.rendered[a:b] == "a< |im_end|>b" and got.where("conv_id = 61").count() == 0
     assert got.where("conv_id = 50 AND speaker = 'u'").count() == 4
     assert chat.rotate_perspectives(df.limit(0)).count() == 0
+
+
+def test_bounded_mixing_has_its_marginals(spark):
+    rnd = random.Random(8)
+    rows = [(i, "w " * rnd.choice([20, 60, 150, 400, 800, 1200]), rnd.choices(["en", "de", "fr", "es"], [6, 1, 2, 2])[0], rnd.choices(["src0", "a", "b"], [1, 9, 9])[0]) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    tokens = lambda rs, key: {k: sum(len(r[1].split()) for r in rs if key(r) == k) / sum(len(r[1].split()) for r in rs) for k in {key(r) for r in rs}}
+    topic = lambda r: "short" if len(r[1].split()) < 100 else "medium" if len(r[1].split()) < 700 else "long"
+    axes = [(lambda r: r[3] if r[3] == "src0" else "*", mixing.SOURCES), (lambda r: r[2], {k: v / 0.99 for k, v in mixing.LANGUAGES.items() if k != "*"}), (topic, mixing.TOPICS)]
+
+    def off(rs):
+        return max(abs(got[k] - share[k]) for key, share in axes for got in [tokens(rs, key)] for k in share)
+
+    assert off(mixing.mix_filter(df).collect()) > 0.1  # what is clipped is not made up for
+    sample = mixing.mix_filter(df, bounded=True).collect()
+    assert off(sample) < 0.03
+
+
+def test_rake_bounded():
+    cells = {("a", "x"): 10.0, ("a", "y"): 5.0, ("b", "x"): 600.0, ("b", "y"): 385.0}
+    targets = [{"a": 0.3, "b": 0.7}, {"x": 0.5, "y": 0.5}]
+    p = mixing.rake_bounded(cells, targets, 0.8)
+    s = {c: cells[c] * p[c] for c in cells}
+    total = sum(s.values())
+    assert max(p.values()) <= 1 and abs(total - 50) < 0.1  # all 15 tokens of a are 30 % of 50
+    assert abs((s["a", "x"] + s["a", "y"]) / total - 0.3) < 1e-3 and abs((s["a", "x"] + s["b", "x"]) / total - 0.5) < 1e-3
+    even = {(a, b): 10.0 for a in "ab" for b in "xy"}
+    assert all(abs(x - 0.8) < 1e-3 for x in mixing.rake_bounded(even, [{"a": 0.5, "b": 0.5}, {"x": 0.5, "y": 0.5}], 0.8).values())
+    with pytest.warns(UserWarning, match="wanted marginals"):
+        mixing.rake_bounded({("a", "x"): 10.0, ("b", "y"): 10.0}, [{"a": 0.3, "b": 0.7}, {"x": 0.5, "y": 0.5}], 0.8)
+    assert mixing.rake_bounded({}, targets, 0.8) == {} and mixing.rake_bounded({("a", "x"): 0}, targets, 0.8) == {("a", "x"): 0.8}
