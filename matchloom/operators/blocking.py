@@ -101,7 +101,10 @@ def competition(pairs: DataFrame, score: str = "bscore") -> DataFrame:
 
 
 def block(prepared: DataFrame, cap: int = KEY_CAP, k: int = TOP_K) -> DataFrame:
-    """Candidate pairs of the queries (source 1) and targets (others) of prepared records."""
+    """Candidate pairs of the queries (source 1) and targets (others) of prepared records.
+
+    The best k of each query by raw bscore, and competition by it too: no ranker is trained, and pairs beyond the k that
+    one would keep are lost."""
     view = base_view(prepared)
     s1, t = view.where("source = 1"), view.where("source > 1")
     dfs = token_df(t)

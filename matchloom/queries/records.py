@@ -292,13 +292,13 @@ def d4_keys(spark, sf_dir):
 
 @query(fx.sql(*DOCS, BASE_SQL, RARE_SQL, KEYS_SQL, PAIRS_SQL, body=f"SELECT s1, t, nkeys, brank, npool, t_ns1, t_rank, {', '.join(f'{r(c)} AS {c}' for c in ['bscore', 'wmax', 'brel', 't_best', *[f'w{i}' for i in range(8)]])} FROM topk"))
 def d14_block(spark, sf_dir):
-    """Capped, weighted keys joined to candidate pairs, ranked, cut to the best 30, and their competition."""
+    """D13 to D15, D17 to D19 by raw bscore: capped, weighted keys joined to candidate pairs, ranked, cut to the best 30, and their competition. No ranker (D16, D21) is trained or scores the pool."""
     return blocking.block(text.prepared(fx.doc_records(spark, sf_dir)))
 
 
 @query(fx.sql(*PARTS, BASE_SQL, RARE_SQL, KEYS_SQL, PAIRS_SQL, body=f"SELECT s1, t, {r('bscore')} AS bscore, brank, npool FROM ranked WHERE {fx.h_sql(99, 's1')} % 100 < 5"))
 def d20_raw_pool(spark, sf_dir):
-    """The uncut pool of a 5 % sample of queries, for training a ranker."""
+    """The uncut pool of a 5 % sample of queries, as a ranker would be trained on; none is."""
     v = _view(spark, sf_dir, fx.part_records)
     t = v.where("source > 1")
     dfs = blocking.token_df(t)
