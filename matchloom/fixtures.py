@@ -50,6 +50,14 @@ PART_RECORDS = f"""part_records AS (SELECT (1 + p_partkey % 3) * {BILLION10} + p
   p_name AS name, p_size || ' ' || p_brand AS address FROM part)"""
 
 
+def part_truth(records: DataFrame) -> DataFrame:
+    """Truth pairs (s1, t) of part records: each target with the least query of its type that has its first name word, and its
+    brand. A target has one query."""
+    k = {"country": F.col("country"), "w": F.split("name", " ")[0], "b": F.split("address", " ")[1]}
+    r = records.select("id", "source", *[v.alias(c) for c, v in k.items()])
+    return r.where("source = 1").groupBy(*k).agg(F.min("id").alias("s1")).join(r.where("source > 1").withColumnRenamed("id", "t"), list(k)).select("s1", "t")
+
+
 def party_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers (source 1) and suppliers (source 2), with their nation as country."""
     n = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("country"))
@@ -88,14 +96,43 @@ SCORED_PAIRS = f"""scored_pairs AS (SELECT s1, t, country, seen, p1, p2, st, (u
 
 
 def doc_truth(records: DataFrame) -> DataFrame:
-    """Truth pairs (s1, t): records of source 1 and of the others with the same text."""
-    k = F.concat_ws("\n", "name", "address")
-    a = records.where("source = 1").select(F.col("id").alias("s1"), k.alias("k"), "name", "address")
-    b = records.where("source > 1").select(F.col("id").alias("t"), "name", "address")
-    return a.drop("k").join(b, ["name", "address"]).select("s1", "t")
+    """Truth pairs (s1, t): records of sources 2 and 3, each with the least record of source 1 that has its text. A target has
+    one query, as in a linkage job, so copies of a text make as many pairs as they are, not their square."""
+    k = ["name", "address"]
+    a = records.where("source = 1").groupBy(*k).agg(F.min("id").alias("s1"))
+    return a.join(records.where("source > 1").select(F.col("id").alias("t"), *k), k).select("s1", "t")
+
+
+DOC_TRUTH = "doc_truth AS (SELECT a.s1, b.id AS t FROM (SELECT name, address, min(id) AS s1 FROM doc_records WHERE source = 1 GROUP BY ALL) a JOIN doc_records b ON a.name = b.name AND a.address = b.address AND b.source > 1)"
+
+#: Records of two sources with names and addresses in native scripts, and dictionaries of some of their words.
+NATIVE = [
+    (10_000_000_001, 1, "IN", "Ram Trading Ltd", "12 MG Road, Mumbai, Maharashtra"),
+    (20_000_000_001, 2, "IN", "राम ट्रेडिंग Ltd", '12 MG Road, "मुंबई", महाराष्ट्र'),
+    (10_000_000_002, 1, "IN", "Kamala Stores", "5 Anna Salai, Chennai, Tamil Nadu"),
+    (20_000_000_002, 2, "IN", "কমলা স্টোর্স", "5 Anna Salai, চেন্নাই, তামিলনাড়ু"),
+    (30_000_000_001, 3, "IN", "कमल १२३ hôtel", None),
+    (30_000_000_002, 3, "IN", None, "तमिलनाडु"),
+    (10_000_000_003, 1, "FR", "Société Générale", "1 Rue X, Paris"),
+    (20_000_000_003, 2, "IN", "शक्ति और राम", "महाराष्ट्र"),
+    (30_000_000_003, 3, "IN", "தமிழ் உணவகம்", ", मुंबई ,"),
+]
+NATIVE_WORDS = [("राम", "ram"), ("ट्रेडिंग", "trading"), ("স্টোর্স", "stores")]
+NATIVE_PARTS = [("महाराष्ट्र", "maharashtra"), ("मुंबई", "mumbai"), ("চেন্নাই", "chennai")]
+
+
+def native_records(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """NATIVE and its dictionaries of words and of parts of addresses."""
+    of = lambda rows: spark.createDataFrame(rows, "word string, latin string")
+    return spark.createDataFrame(NATIVE, "id long, source int, country string, name string, address string"), of(NATIVE_WORDS), of(NATIVE_PARTS)
+
+
+def _values(name: str, columns: str, rows: list[tuple]) -> str:
+    lit = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    return f"{name}({columns}) AS (VALUES " + ", ".join("(" + ", ".join(map(lit, row)) + ")" for row in rows) + ")"
 
 
-DOC_TRUTH = "doc_truth AS (SELECT a.id AS s1, b.id AS t FROM doc_records a JOIN doc_records b ON a.name = b.name AND a.address = b.address AND a.source = 1 AND b.source > 1)"
+NATIVE_SQL = ",\n".join([_values("native", "id, source, country, name, address", NATIVE), _values("words", "word, latin", NATIVE_WORDS), _values("parts", "word, latin", NATIVE_PARTS)])
 
 
 def dense_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

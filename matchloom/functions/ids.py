@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BASE = 10_000_000_000
@@ -27,3 +27,16 @@ def fold(number: Column, folds: int = 4) -> Column:
 
 def kept(number: Column, permille: int = 814) -> Column:
     return sample_hash(number, 2024) % 1000 < permille
+
+
+def shuffled(df: DataFrame, number: Column, seed: int) -> DataFrame:
+    """df in the order of a hash, which is its column h."""
+    return df.withColumn("h", sample_hash(number, seed)).orderBy("h")
+
+
+def train_eval(df: DataFrame, key: str, n_train: int, n_eval: int, seed: int = 17) -> DataFrame:
+    """Rows (key, part): of distinct keys in the order of a hash, the first n_train to train on and the last n_eval to evaluate;
+    each is a sorted head of bounded size."""
+    x = df.select(key).withColumn("_h", sample_hash(F.col(key), seed))
+    first = x.orderBy("_h", key).limit(n_train).select(key, F.lit("train").alias("part"))
+    return first.unionByName(x.orderBy(F.desc("_h"), F.desc(key)).limit(n_eval).select(key, F.lit("eval").alias("part")))

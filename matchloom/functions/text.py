@@ -1,4 +1,4 @@
-"""Normal forms of names and addresses as column expressions; Python only for decomposition and transliteration."""
+"""Normal forms of names and addresses as column expressions; Python only for decomposition."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -96,24 +96,24 @@ def core_tokens(toks: Column, profile: NormProfile = BASE) -> Column:
     return F.filter(toks, lambda t: ~stop(t))
 
 
+BLANKS = " \t\n\x0b\x0c\r"
+
+
 def address_components(address: Column, profile: NormProfile = BASE) -> Column:
-    """Comma-separated parts of the folded address without PO boxes and words for nothing."""
+    """Comma-separated parts of the folded address without PO boxes and words for nothing; ordinals and zero-led numbers as plain
+    numbers, over the whole line at once."""
     f = F.regexp_replace(fold(address), r"\b(?:p\.?\s*o\.?\s*box|pmb)\s*#?\s*\d+", " ")
-    parts = F.transform(F.split(f, ","), lambda c: F.regexp_replace(c, r"^\s+|\s+$", ""))
+    f = F.regexp_replace(f, r"(?<![a-z0-9])(\d+)(?:st|nd|rd|th)(?![a-z0-9])", "$1")
+    f = F.regexp_replace(f, r"(?<![a-z0-9])0+(?=[0-9]+(?![a-z0-9]))", "")
+    parts = F.transform(F.split(f, ","), lambda c: F.btrim(c, F.lit(BLANKS)))
     return F.filter(parts, lambda c: ~c.isin("", "null", "n/a", "na"))
 
 
 def address_tokens(components: Column, profile: NormProfile = BASE) -> Column:
-    """A state's name as a whole part is its code; else ordinals, forms and leading zeros of each token are normalised."""
+    """A state's name as a whole part is its code; else each token in its canonical form."""
     states = vocab.STATES | (vocab.FR_REGIONS if profile.extended else {})
     forms = vocab.ADDRESS_FORMS | (vocab.EXTENDED_ADDRESS if profile.extended else {})
-
-    def one(t: Column) -> Column:
-        t = F.regexp_replace(t, r"^(\d+)(?:st|nd|rd|th)$", "$1")
-        t = mapped(forms)(t)
-        return F.when(t.rlike("^[0-9]+$"), F.coalesce(F.nullif(F.ltrim(t, F.lit("0")), F.lit("")), F.lit("0"))).otherwise(t)
-
-    part = lambda c: F.when(in_list(states)(c), F.array(mapped(states)(c))).otherwise(F.transform(tokens(c), one))
+    part = lambda c: F.when(in_list(states)(c), F.array(mapped(states)(c))).otherwise(F.transform(tokens(c), mapped(forms)))
     return F.flatten(F.transform(components, part))
 
 
@@ -133,13 +133,15 @@ def legal_forms(name: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(known)), ",")
 
 
-def prepared(records, profile: NormProfile = BASE):
-    """Records with their token views: nf, nt, core, al_pre, al_post, comps, at, acore, ncomp."""
-    r = records.withColumn("nf", name_text(F.col("name"), profile))
+def prepared(records: DataFrame, profile: NormProfile = BASE, names: DataFrame | None = None, components: DataFrame | None = None) -> DataFrame:
+    """Records with their token views: nf, nt, core, al_pre, al_post, comps, at, acore, ncomp, oov. Native scripts are written in
+    Latin letters first, by the dictionaries names and components (see romanised) and by rule."""
+    r = romanised(records, names, components)
+    r = r.withColumn("nf", name_text(F.col("name_latin"), profile))
     pre, post = alias_parts(F.col("nf"))
-    r = r.withColumns({"nt": name_tokens(F.col("nf")), "al_pre": pre, "al_post": post, "comps": address_components(F.col("address"), profile)})
+    r = r.withColumns({"nt": name_tokens(F.col("nf")), "al_pre": pre, "al_post": post, "comps": address_components(F.col("address_latin"), profile)})
     r = r.withColumns({"core": core_tokens(F.col("nt"), profile), "at": address_tokens(F.col("comps"), profile), "ncomp": F.size("comps")})
-    return r.withColumn("acore", address_core(F.col("at"), profile))
+    return r.withColumn("acore", address_core(F.col("at"), profile)).drop("name_latin", "address_latin")
 
 
 def serialised(name: Column, address: Column, latin: Column | None = None) -> Column:
@@ -164,46 +166,53 @@ def street_words(address: Column) -> Column:
 
 # --- Brahmic scripts ---------------------------------------------------------------------------------------------------
 
-
-def _letters() -> dict[str, tuple[str, str]]:
-    pairs = lambda xs: zip(xs[::2], xs[1::2])
-    out = {k: ("letter", v[:-1]) for k, v in pairs(vocab.CONSONANTS)}
-    out |= {k: ("other", v) for k, v in [*pairs(vocab.VOWELS), *pairs(vocab.OTHER_SIGNS)]}
-    out |= {k: ("sign", v) for k, v in pairs(vocab.VOWEL_SIGNS)}
-    out |= {chr(0x966 + d): ("other", str(d)) for d in range(10)}
-    return out | {"्": ("sign", ""), "़": ("other", "")}
-
-
-LETTERS = _letters()
-
-
-def transliterate(word: str) -> str:
-    """A word of any Brahmic script in Latin letters: a consonant carries an a unless a sign follows or the word ends."""
-    out, open_ = [], False
-    for ch in word:
-        if 0x980 <= ord(ch) <= 0xDFF:
-            ch = chr(0x900 + ord(ch) % 0x80)
-        kind, latin = LETTERS.get(ch, ("", ch if ch.isascii() else ""))
-        if open_ and kind != "sign":
-            out.append("a")
-        out.append(latin)
-        open_ = kind == "letter"
-    return "".join(out)
-
-
-def latin_name(dictionary: dict[str, str] | None = None):
-    """A pandas UDF: words of Brahmic scripts by the dictionary or else by rule; struct of text and words not in it."""
-    known = dictionary or {}
-
-    def one(s: str | None) -> tuple[str, int]:
-        words = (s or "").split()
-        native = lambda w: any("ऀ" <= c <= "෿" for c in w)
-        if not any(map(native, words)):
-            return s or "", 0
-        return " ".join(known.get(w) or transliterate(w) if native(w) else w for w in words), sum(native(w) and w not in known for w in words)
-
-    @F.pandas_udf("struct<latin:string,oov:int>")
-    def run(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(x) for x in s], columns=["latin", "oov"])
-
-    return run
+SIGNS = "".join(vocab.VOWEL_SIGNS) + "\u094d"
+#: Blocks from Bengali to Sinhala have the layout of Devanagari, 0x80 apart.
+BLOCKS = "".join(map(chr, range(0x980, 0xE00)))
+DEVANAGARI = "".join(chr(0x900 + i) for i in range(0x80)) * (len(BLOCKS) // 0x80)
+#: What each letter is written as. A consonant's vowel is written by the rule, so the table's goes.
+WRITTEN = {c: latin.removesuffix("a") for c, latin in vocab.CONSONANTS.items() if len(c) == 1} | vocab.VOWELS | vocab.VOWEL_SIGNS | vocab.OTHER_SIGNS | {chr(0x966 + d): str(d) for d in range(10)}
+CONSONANT_CLASS = "[" + "".join(c for c in vocab.CONSONANTS if len(c) == 1) + "]"
+
+
+def transliterated(word: Column) -> Column:
+    """A word of a Brahmic script in Latin letters: a consonant is read with an a unless a vowel sign or virama follows it or
+    the word ends. Other signs and letters that have no Latin are left out."""
+    word = F.translate(word, BLOCKS, DEVANAGARI)
+    voiced = F.regexp_replace(word, f"({CONSONANT_CLASS})(?=[^{SIGNS}])", "$1a")
+    known = F.create_map(*[F.lit(x) for kv in WRITTEN.items() for x in kv])
+    return F.array_join(F.transform(F.split(voiced, ""), lambda c: F.coalesce(known[c], F.when(c.rlike("^[\\x00-\\x7f]$"), c), F.lit(""))), "")
+
+
+def _words(name: Column) -> Column:
+    return F.split(F.regexp_replace(name, "^\\s+|\\s+$", ""), "\\s+")
+
+
+def romanised(records: DataFrame, names: DataFrame | None = None, components: DataFrame | None = None) -> DataFrame:
+    """records with name_latin, address_latin and oov, the number of native words that no dictionary has.
+
+    names (word, latin): native words of names; those it lacks are written by rule. components (word, latin): native parts of
+    addresses between commas; those it lacks stay. Dictionaries of any size are joined with the words of native records
+    only; other records pass by, unshuffled. Records have an id of their own each; null names are null, with oov 0.
+    """
+    native = has_indic(F.col("name"))
+    by_rule = F.array_join(F.transform(_words(F.col("name")), lambda w: F.when(w.rlike(INDIC), transliterated(w)).otherwise(w)), " ")
+    unknown = F.size(F.filter(_words(F.col("name")), lambda w: w.rlike(INDIC)))
+    r = records.withColumns({"name_latin": F.when(native, by_rule).otherwise(F.col("name")), "address_latin": F.col("address"), "oov": F.when(native, unknown).otherwise(0)})
+    if names is None and components is None:
+        return r
+    odd = native | has_indic(F.col("address"))
+    rest, found = r.where(~odd), r.where(odd)
+    if names is not None:
+        words = found.where(native).select("id", F.posexplode(_words(F.col("name"))).alias("pos", "word")).join(names.select("word", "latin"), "word", "left")
+        own = F.col("word").rlike(INDIC)
+        latin = F.when(own, F.coalesce("latin", transliterated(F.col("word")))).otherwise(F.col("word"))
+        lines = words.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", latin.alias("x")))).alias("_w"), F.sum(F.when(own & F.col("latin").isNull(), 1).otherwise(0)).cast("int").alias("_o"))
+        found = found.join(lines, "id", "left").withColumns({"name_latin": F.when(native, F.array_join(F.col("_w.x"), " ")).otherwise(F.col("name")), "oov": F.coalesce("_o", F.lit(0))}).drop("_w", "_o")
+    if components is not None:
+        native_address = has_indic(F.col("address"))
+        bare = lambda c: F.regexp_replace(F.regexp_replace(c, "^\\s+|\\s+$", ""), '^"+|"+$', "")
+        parts = found.where(native_address).select("id", F.posexplode(F.transform(F.split("address", ","), bare)).alias("pos", "word")).join(components.select("word", "latin"), "word", "left")
+        lines = parts.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("latin", "word").alias("x")))).alias("_p"))
+        found = found.join(lines, "id", "left").withColumn("address_latin", F.when(native_address, F.array_join(F.col("_p.x"), ", ")).otherwise(F.col("address"))).drop("_p")
+    return rest.unionByName(found.select(rest.columns))

@@ -13,7 +13,7 @@ def record_view(prepared: DataFrame) -> DataFrame:
     core = F.when(F.size("core") > 0, F.col("core")).otherwise(F.col("nt"))
     r = prepared.withColumn("core", core)
     return r.select(
-        "id", "source", "country", "nt", "core", "at", "acore", "al_pre", "al_post", "ncomp", F.array_join("nt", " ").alias("ns"), F.array_join("core", " ").alias("cs"),
+        "id", "source", "country", "nt", "core", "at", "acore", "al_pre", "al_post", "ncomp", "oov", F.array_join("nt", " ").alias("ns"), F.array_join("core", " ").alias("cs"),
         F.array_join("core", "").alias("cc"), F.array_join("nt", "").alias("nc"), F.array_join("at", " ").alias("as"), F.array_join("acore", " ").alias("acs"),
         numbers(F.col("acore")).alias("nums"), (F.trim(F.coalesce("address", F.lit(""))) == "").alias("aempty"), F.coalesce(F.col("name").rlike(r"(?i)\.com|www\.|^@"), F.lit(False)).alias("dom"),
         F.coalesce(F.col("name").rlike("[ऀ-෿]"), F.lit(False)).alias("ind"),
@@ -45,3 +45,16 @@ def idf(view: DataFrame, column: str = "nt") -> DataFrame:
     n = float(max(1, t.count()))
     d = t.select(F.explode(F.array_distinct(column)).alias("t")).groupBy("t").agg(F.count("*").alias("df"))
     return d.withColumn("idf", F.ln(F.lit(n) / F.col("df")))
+
+
+def weighed(view: DataFrame, n_targets: int) -> DataFrame:
+    """view with wn and wa: maps from a record's name words and address tokens to their rarity over all targets, ln N for words
+    that no target has. Weights are looked up once per record, not per pair: pairs are many times as many."""
+    of = lambda kind, c: F.transform(F.array_distinct(c), lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("t")))
+    rows = view.select("id", "source", F.inline(F.concat(of("n", "nt"), of("a", "at"))))
+    df = rows.where("source > 1").groupBy("kind", "t").agg(F.count("*").alias("df"))
+    x = F.ln(F.lit(float(max(1, n_targets))) / F.coalesce("df", F.lit(1)))
+    pairs = lambda kind, name: F.map_from_entries(F.collect_list(F.when(F.col("kind") == kind, F.struct("t", x.alias("x"))))).alias(name)
+    g = rows.join(df, ["kind", "t"], "left").groupBy("id").agg(pairs("n", "wn"), pairs("a", "wa"))
+    none = F.create_map().cast("map<string,double>")
+    return view.join(g, "id", "left").withColumns({c: F.coalesce(c, none) for c in ("wn", "wa")})

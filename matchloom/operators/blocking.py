@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..functions.text import in_list
+from ..storage import written
+
+#: Adds rs, a score by which a query's pool is cut, to a pool of pairs.
+Ranker = Callable[[DataFrame], DataFrame]
 
 #: Rarest name words, address words and numbers of a record that make keys, for queries and targets.
 RAREST = {"s1": (4, 7, 3), "t": (4, 5, 2)}
@@ -24,50 +30,52 @@ def base_view(prepared: DataFrame) -> DataFrame:
     )
 
 
+def _token_rows(view: DataFrame, *columns: str) -> DataFrame:
+    """Rows (columns, dk, t): each distinct name word (n) and address token (a) of a record, in one pass over the records."""
+    of = lambda kind, c: F.transform(F.array_distinct(c), lambda t: F.struct(F.lit(kind).alias("dk"), t.alias("t")))
+    return view.select(*columns, F.inline(F.concat(of("n", "bt"), of("a", "acore"))))
+
+
 def token_df(targets: DataFrame) -> DataFrame:
     """Rows (country, kind, t, df): how many targets have a name word (n) or address token (a). Counts combine before the shuffle."""
-    both = targets.select("country", F.lit("n").alias("kind"), F.explode(F.array_distinct("bt")).alias("t")).unionByName(
-        targets.select("country", F.lit("a").alias("kind"), F.explode(F.array_distinct("acore")).alias("t"))
-    )
-    return both.groupBy("country", "kind", "t").agg(F.count("*").alias("df"))
+    return _token_rows(targets, "country").groupBy("country", F.col("dk").alias("kind"), "t").agg(F.count("*").alias("df"))
+
 
+def rarest_tokens(view: DataFrame, dfs: DataFrame) -> DataFrame:
+    """Rows (id, source, country, noaddr, n, a, h): each record's rarest words, address words and numbers, rarest first; unseen
+    ones are rarest. Records without any have no row.
 
-def rarest_tokens(view: DataFrame, dfs: DataFrame, side: str) -> DataFrame:
-    """Rows (id, country, kind, t): each record's rarest words n, address words a and numbers h; unseen ones are rarest."""
-    limits = dict(zip("nah", RAREST[side]))
-    named = view.select("id", "country", F.lit("n").alias("kind"), F.explode(F.array_distinct("bt")).alias("t")).where(F.length("t") >= 2)
-    addr = view.select("id", "country", F.explode(F.array_distinct("acore")).alias("t"))
+    A record's own tokens, which it held in one row before, are gathered once and cut: no window sorts them.
+    """
+    rows = _token_rows(view, "id", "source", "country", "noaddr")
     number = F.col("t").rlike("^[0-9]+$")
-    addr = addr.withColumn("kind", F.when(number, "h").otherwise("a")).where(F.when(number, F.col("t") != "0").otherwise(F.length("t") >= 3))
-    rows = named.unionByName(addr).withColumn("dk", F.when(F.col("kind") == "n", "n").otherwise("a"))
-    d = dfs.withColumnRenamed("kind", "dk")
-    rows = rows.join(d, ["country", "dk", "t"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("id", "kind").orderBy("df", "t"))
-    most = F.when(F.col("kind") == "n", limits["n"]).when(F.col("kind") == "a", limits["a"]).otherwise(limits["h"])
-    return rows.withColumn("r", rank).where((F.col("r") <= max(limits.values())) & (F.col("r") <= most)).select("id", "country", "kind", "t")
+    rows = rows.withColumn("kind", F.when(F.col("dk") == "n", "n").when(number, "h").otherwise("a"))
+    rows = rows.where(F.when(F.col("kind") == "n", F.length("t") >= 2).when(F.col("kind") == "h", F.col("t") != "0").otherwise(F.length("t") >= 3))
+    rows = rows.join(dfs.withColumnRenamed("kind", "dk"), ["country", "dk", "t"], "left")
+    kept = lambda k: F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.struct(F.coalesce("df", F.lit(0)).alias("df"), "t")))).alias(k)
+    most = lambda i: F.when(F.col("source") == 1, RAREST["s1"][i]).otherwise(RAREST["t"][i])
+    g = rows.groupBy("id", "source", "country", "noaddr").agg(*map(kept, "nah"))
+    return g.select("id", "source", "country", "noaddr", *[F.transform(F.slice(k, F.lit(1), most(i)), lambda e: e["t"]).alias(k) for i, k in enumerate("nah")])
 
 
-def keys(view: DataFrame, dfs: DataFrame, side: str) -> DataFrame:
-    """Rows (id, country, k, ty): a record's blocking keys, each once, with the least type that makes it.
+def keys(view: DataFrame, dfs: DataFrame) -> DataFrame:
+    """Rows (id, source, country, noaddr, k, ty): each record's blocking keys, each once.
 
-    The few tokens that rarest_tokens leaves a record are gathered, and its keys are made from them in place: no self join.
+    Keys are made in place from the few tokens that rarest_tokens leaves a record. A key names its type, so only a record's
+    keys of one type can be equal, and those are made distinct in the row: nothing is shuffled after the tokens.
     """
-    toks = rarest_tokens(view, dfs, side).groupBy("id").agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("t")))).alias(k) for k in "nah"])
-    empty = F.array().cast("array<string>")
-    rows = view.select("id", "country", "ntok", "nt", "noaddr").join(toks, "id", "left").withColumns({k: F.coalesce(k, empty) for k in "nah"})
     key = lambda ty, x: F.struct(F.lit(KEY_TYPES.index(ty)).alias("ty"), F.concat(F.lit(ty), x).alias("k"))
     bar = F.lit("|")
     pairs = lambda ty, a, b, f: F.flatten(F.transform(a, lambda x: F.transform(F.filter(b, lambda y: f(x, y)), lambda y: key(ty, F.concat(x, bar, y)))))
     less, any_ = (lambda x, y: x < y), (lambda x, y: F.lit(True))
     cut4 = lambda ty, a: F.flatten(F.transform(a, lambda x: F.transform(F.filter(a, lambda y: x < y), lambda y: key(ty, F.concat(F.substring(x, 1, 4), bar, F.substring(y, 1, 4))))))
-    single = F.transform("n", lambda x: key("N1", x))
-    if side == "t":
-        single = F.when(F.col("noaddr"), single).otherwise(F.array().cast("array<struct<ty:int,k:string>>"))
-    every = F.concat(
-        single, pairs("AA", F.col("a"), F.col("a"), less), cut4("NP", F.col("n")), pairs("NA", F.col("n"), F.col("a"), any_), pairs("NN", F.col("n"), F.col("n"), less),
-        pairs("HA", F.col("h"), F.col("a"), any_), pairs("NH", F.col("n"), F.col("h"), any_), F.array(key("C", F.array_join("ntok", "")), key("C", F.array_join("nt", ""))),
-    )
-    return rows.select("id", "country", F.inline(every)).groupBy("id", "country", "k").agg(F.min("ty").alias("ty"))
+    n, a, h = map(F.col, "nah")
+    single = F.when((F.col("source") == 1) | F.col("noaddr"), F.transform(n, lambda x: key("N1", x))).otherwise(F.array().cast("array<struct<ty:int,k:string>>"))
+    every = F.concat(single, pairs("AA", a, a, less), cut4("NP", n), pairs("NA", n, a, any_), pairs("NN", n, n, less), pairs("HA", h, a, any_), pairs("NH", n, h, any_))
+    own = ["id", "source", "country", "noaddr"]
+    made = rarest_tokens(view, dfs).select(*own, F.inline(F.array_distinct(every)))
+    whole = view.select(*own, F.inline(F.array_distinct(F.array(key("C", F.array_join("ntok", "")), key("C", F.array_join("nt", ""))))))
+    return made.unionByName(whole).select(*own, "k", "ty")
 
 
 def weighted_keys(target_keys: DataFrame, n_targets: int, cap: int = KEY_CAP) -> DataFrame:
@@ -76,12 +84,17 @@ def weighted_keys(target_keys: DataFrame, n_targets: int, cap: int = KEY_CAP) ->
     return d.select("country", "k", "df", (F.ln(F.lit(float(n_targets))) - F.ln("df")).alias("w"))
 
 
-def candidate_pairs(query_keys: DataFrame, target_keys: DataFrame, weights: DataFrame) -> DataFrame:
-    """Rows (s1, t, bscore, nkeys, wmax, w0 .. w7) of pairs that share a key."""
-    kt = target_keys.select("country", "k", F.col("id").alias("t")).join(weights.select("country", "k", "w"), ["country", "k"])
-    pairs = query_keys.select("country", "k", "ty", F.col("id").alias("s1")).join(kt, ["country", "k"])
+def target_index(target_keys: DataFrame, n_targets: int, cap: int = KEY_CAP) -> DataFrame:
+    """Rows (country, k, t, noaddr, w): what queries' keys are looked up in."""
+    w = weighted_keys(target_keys, n_targets, cap).select("country", "k", "w")
+    return target_keys.select("country", "k", F.col("id").alias("t"), "noaddr").join(w, ["country", "k"])
+
+
+def candidate_pairs(query_keys: DataFrame, index: DataFrame) -> DataFrame:
+    """Rows (s1, t, bscore, nkeys, wmax, noaddr, w0 .. w7) of pairs that share a key; noaddr is the target's."""
+    pairs = query_keys.select("country", "k", "ty", F.col("id").alias("s1")).join(index, ["country", "k"])
     by = [F.sum(F.when(F.col("ty") == i, F.col("w")).otherwise(0.0)).alias(f"w{i}") for i in range(len(KEY_TYPES))]
-    return pairs.groupBy("s1", "t").agg(F.sum("w").alias("bscore"), F.count("*").alias("nkeys"), F.max("w").alias("wmax"), *by)
+    return pairs.groupBy("s1", "t").agg(F.sum("w").alias("bscore"), F.count("*").alias("nkeys"), F.max("w").alias("wmax"), F.max(F.col("noaddr").cast("int")).alias("noaddr"), *by)
 
 
 def ranked(pairs: DataFrame, score: str = "bscore") -> DataFrame:
@@ -94,23 +107,39 @@ def top_k(pairs: DataFrame, k: int = TOP_K, rank: str = "brank") -> DataFrame:
     return pairs.where(F.col(rank) <= k)
 
 
-def competition(pairs: DataFrame, score: str = "bscore") -> DataFrame:
-    """pairs with t_ns1, t_best and t_rank: how a pair stands among its target's."""
-    w, all_ = Window.partitionBy("t").orderBy(F.desc(F.round(score, 9)), "s1"), Window.partitionBy("t")
-    return pairs.withColumns({"t_ns1": F.count("*").over(all_), "t_best": F.max(score).over(all_), "t_rank": F.row_number().over(w)})
+def reranked(pool: DataFrame, ranker: Ranker | None = None) -> DataFrame:
+    """pool with rs, the ranker's score of a pair (without one, bscore), and rrank, its rank within the query, ties by t."""
+    if ranker is None:
+        return pool.withColumns({"rs": F.col("bscore"), "rrank": F.col("brank")})
+    w = Window.partitionBy("s1").orderBy(F.desc(F.round("rs", 9)), "t")
+    return ranker(pool).withColumn("rrank", F.row_number().over(w))
 
 
-def block(prepared: DataFrame, cap: int = KEY_CAP, k: int = TOP_K) -> DataFrame:
-    """Candidate pairs of the queries (source 1) and targets (others) of prepared records.
+def competition(pairs: DataFrame) -> DataFrame:
+    """pairs with t_ns1, and how each stands among its target's by the ranker (t_best, t_rank) and by rarity (t_bbest, t_brank)."""
+    all_ = Window.partitionBy("t")
+    rank = lambda c: F.row_number().over(all_.orderBy(F.desc(F.round(c, 9)), "s1"))
+    return pairs.withColumns({"t_ns1": F.count("*").over(all_), "t_best": F.max("rs").over(all_), "t_rank": rank("rs"), "t_bbest": F.max("bscore").over(all_), "t_brank": rank("bscore")})
 
-    The best k of each query by raw bscore, and competition by it too: no ranker is trained, and pairs beyond the k that
-    one would keep are lost."""
-    view = base_view(prepared)
-    s1, t = view.where("source = 1"), view.where("source > 1")
-    dfs = token_df(t)
-    kt = keys(t, dfs, "t")
-    pairs = candidate_pairs(keys(s1, dfs, "s1"), kt, weighted_keys(kt, t.count(), cap))
-    return competition(top_k(ranked(pairs), k))
+
+def raw_pool(prepared: DataFrame, queries: Column | None = None, cap: int = KEY_CAP) -> DataFrame:
+    """All pairs that share a key, ranked within the query and uncut; of the queries (source 1) that the condition on id holds for.
+
+    The view and the keys are written once each: weights, targets and queries read them, and nothing is prepared again.
+    """
+    view = written(base_view(prepared), "view")
+    t = view.where("source > 1")
+    asked = view if queries is None else view.where((F.col("source") > 1) | queries)
+    every = written(keys(asked, token_df(t)), "keys")
+    return ranked(candidate_pairs(every.where("source = 1"), target_index(every.where("source > 1"), t.count(), cap)))
+
+
+def block(prepared: DataFrame, cap: int = KEY_CAP, k: int = TOP_K, ranker: Ranker | None = None, keep: DataFrame | None = None) -> DataFrame:
+    """Candidate pairs of the queries (source 1) and targets (others) of prepared records: the best k of each query by the
+    ranker, and their competition within targets. Without a ranker raw bscore ranks. keep (id): only these queries."""
+    if keep is not None:
+        prepared = prepared.where("source > 1").unionByName(prepared.where("source = 1").join(keep.select("id"), "id", "left_semi").select(prepared.columns))
+    return competition(top_k(reranked(raw_pool(prepared, cap=cap), ranker), k, "rrank"))
 
 
 def dense_union(lexical: DataFrame, dense: DataFrame, k: int = 10) -> DataFrame:

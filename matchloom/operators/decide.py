@@ -42,28 +42,38 @@ def two_thresholds(df: DataFrame, p: str = "p", top: float = 0.6, rest: float =
 
 def _chosen(df: DataFrame, p: str, count) -> DataFrame:
     """The first k pairs of each query, k by a UDF over its descending scores; a query's candidates are bounded by top-K."""
-    lists = df.groupBy("s1").agg(F.array_sort(F.collect_list(F.struct((-F.col(p)).alias("k"), "t"))).alias("x"))
+    lists = df.groupBy("s1").agg(F.sort_array(F.collect_list(F.struct((-F.col(p)).alias("k"), "t"))).alias("x"))
     lists = lists.withColumn("c", count(F.transform("x", lambda e: -e["k"])))
     return lists.select("s1", F.col("c.e").alias("e"), F.posexplode("x").alias("pos", "x"), F.col("c.k").alias("k")).where("pos < k").select("s1", F.col("x.t").alias("t"), (-F.col("x.k")).alias(p))
 
 
 def expected_best(df: DataFrame, p: str = "p", mu: float = 0.1, least: float = 0.005, most: int = 25) -> DataFrame:
-    """The choice of largest expected F0.5, with a Poisson number of true links that are no candidates."""
-    return _chosen(df.where(F.col(p) >= least), p, poisson.best_count_udf(poisson.poisson(mu, 3), most))
+    """The choice of largest expected F0.5 among a query's `most` best pairs, with a Poisson number of true links that are no
+    candidates. The best are cut by rank first, so no list is longer."""
+    best = df.where(F.col(p) >= least).withColumn("_r", query_rank(p)).where(F.col("_r") <= most)
+    return _chosen(best, p, poisson.best_count_udf(poisson.poisson(mu, 3)))
 
 
-def expected_decode(df: DataFrame, p: str = "p", least: float = 0.02, low: float = 0.3, high: float = 0.95) -> DataFrame:
-    """Exclusive pairs, chosen by expected F0.5 for queries with a pair in [low, high), by the threshold for the others."""
-    el = df.withColumn("_r", target_rank(p)).where((F.col("_r") == 1) & (F.col(p) >= least)).select("s1", "t", p)
+def eligible(df: DataFrame, p: str = "p", least: float = 0.02) -> DataFrame:
+    """Pairs that are their target's best, over all queries, and not hopeless."""
+    return df.withColumn("_r", target_rank(p)).where((F.col("_r") == 1) & (F.col(p) >= least)).drop("_r")
+
+
+def _decoded(el: DataFrame, p: str, low: float, high: float) -> DataFrame:
     unsure = el.where((F.col(p) >= low) & (F.col(p) < high)).select("s1").distinct()
     plain = el.where(F.col(p) >= TH).join(unsure, "s1", "left_anti")
-    return plain.unionByName(_chosen(el.join(unsure, "s1", "left_semi"), p, poisson.best_count_udf()))
+    return plain.select("s1", "t", p).unionByName(_chosen(el.join(unsure, "s1", "left_semi"), p, poisson.best_count_udf()))
+
+
+def expected_decode(df: DataFrame, p: str = "p", least: float = 0.02, low: float = 0.3, high: float = 0.95) -> DataFrame:
+    """Exclusive pairs, chosen by expected F0.5 for queries with a pair in [low, high), by the threshold for the others."""
+    return _decoded(eligible(df, p, least), p, low, high)
 
 
-def decode_seen(df: DataFrame, p: str = "p", seen: str = "seen") -> DataFrame:
-    """expected_decode for countries with labels, the exclusive threshold for the others."""
-    a = expected_decode(df.where(seen), p).select("s1", "t", p)
-    return a.unionByName(exclusive(df.where(~F.col(seen)), p).select("s1", "t", p))
+def decode_seen(df: DataFrame, p: str = "p", seen: str = "seen", least: float = 0.02, low: float = 0.3, high: float = 0.95) -> DataFrame:
+    """expected_decode for countries with labels, the threshold for the others; targets belong to one query over both."""
+    el = eligible(df, p, least)
+    return _decoded(el.where(seen), p, low, high).unionByName(el.where(~F.col(seen) & (F.col(p) >= TH)).select("s1", "t", p))
 
 
 def route(main: DataFrame, other: DataFrame, seen: DataFrame, p: str = "p") -> DataFrame:

@@ -1,34 +1,79 @@
-"""Exact nearest neighbours of vectors within a country."""
+"""Vectors of records by a plugged-in encoder, and exact nearest neighbours within a country."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Vectors of a block: a task holds two blocks, and similarities of STRIPE queries with one block at a time.
+BLOCK, STRIPE = 8192, 512
+
+
+def encode(lines: DataFrame, encoder: Callable[[list[str]], np.ndarray], dims: int, batch_chars: int = 1 << 16) -> DataFrame:
+    """Rows (id, source, country, v) of rows (id, source, country, x): unit vectors of the encoder's first `dims` numbers.
+
+    Texts go to the encoder in batches of like length, of so many characters, padding counted, at most; a longer text goes
+    alone. Null texts are empty. A vector of zeros stays one.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts, out, at = b["x"].tolist(), [], 0
+            while at < len(texts):
+                upto, longest = at, 0
+                while upto < len(texts) and (upto == at or (upto - at + 1) * max(longest, len(texts[upto])) <= batch_chars):
+                    longest = max(longest, len(texts[upto]))
+                    upto += 1
+                m = np.asarray(encoder(texts[at:upto]), np.float64)[:, :dims]
+                out += list((m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)).astype(np.float32))
+                at = upto
+            yield b[["id", "source", "country"]].assign(v=out)
+
+    rows = lines.select("id", "source", "country", F.coalesce("x", F.lit("")).alias("x")).withColumn("n", F.length("x")).sortWithinPartitions("n").drop("n")
+    return rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, source {dict(rows.dtypes)['source']}, country string, v array<float>")
+
+
+def matrices(spark: SparkSession, *paths: str) -> DataFrame:
+    """Several stored matrices of vectors as one."""
+    return spark.read.parquet(*paths)
+
 
-def top_k_cosine(vectors: DataFrame, k: int = 10, blocks: int = 8) -> DataFrame:
+def top_k_cosine(vectors: DataFrame, k: int = 10, queries: DataFrame | None = None, block: int = BLOCK, digits: int = 9) -> DataFrame:
     """Rows (s1, t, dscore, drank): each query's (source 1) k targets of its country with the largest cosine, ties by t.
 
-    Queries and targets of a country are dealt into `blocks` blocks each by a hash of their id. A task multiplies one block
-    of queries with one of targets and returns its best k for each query; the best of those are the result. So no task holds
-    a whole country, whatever its size: raise `blocks` with it.
+    Exact: every query meets every target of its country. A country's queries and targets are dealt into as many blocks of
+    `block` vectors as their counts ask for; a task multiplies one block of queries with one of targets, some queries at a
+    time, and returns its best k of each; the best of those are the result. So a task's memory depends on `block` alone, and
+    a vector is sent once per block of the other side. queries (id): only these. Scores are rounded to `digits`; vectors of
+    zeros have cosine 0 with all, null vectors no row.
     """
-    v = vectors.where(F.col("v").isNotNull()).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    q = v.where("source = 1").select("id", "source", "country", "v", F.col("b").alias("qb"), other.alias("tb"))
-    t = v.where("source > 1").select("id", "source", "country", "v", other.alias("qb"), F.col("b").alias("tb"))
+    v = vectors.where(F.col("v").isNotNull()).select("id", "source", "country", "v")
+    if queries is not None:
+        v = v.where("source > 1").unionByName(v.where("source = 1").join(queries.select("id"), "id", "left_semi").select(v.columns))
+    side = lambda c: F.ceil(F.sum(F.when(c, 1).otherwise(0)) / block).cast("int")
+    sizes = v.groupBy("country").agg(side(F.col("source") == 1).alias("nq"), side(F.col("source") > 1).alias("nt")).where("nq > 0 AND nt > 0")
+    v = v.join(sizes, "country")  # as few rows as countries
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = v.where("source = 1").select("id", "source", "country", "v", own("nq").alias("qb"), every("nt").alias("tb"))
+    t = v.where("source > 1").select("id", "source", "country", "v", every("nq").alias("qb"), own("nt").alias("tb"))
     both = q.unionByName(t)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         a, b = g[g["source"] == 1], g[g["source"] > 1].sort_values("id")
-        if not len(a) or not len(b):
-            return pd.DataFrame({"s1": [], "t": [], "dscore": []}).astype({"s1": "int64", "t": "int64"})
         unit = lambda x: (m := np.stack(x.to_numpy()).astype(np.float64)) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        sims = np.round(unit(a["v"]) @ unit(b["v"]).T, 9)
-        best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"s1": np.repeat(a["id"].to_numpy(), best.shape[1]), "t": b["id"].to_numpy()[best].ravel(), "dscore": np.take_along_axis(sims, best, 1).ravel()})
+        out = []
+        if len(a) and len(b):
+            ids, targets, right = a["id"].to_numpy(), b["id"].to_numpy(), unit(b["v"]).T
+            for i in range(0, len(a), STRIPE):
+                sims = np.round(unit(a["v"].iloc[i : i + STRIPE]) @ right, digits)
+                best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+                out.append(pd.DataFrame({"s1": np.repeat(ids[i : i + STRIPE], best.shape[1]), "t": targets[best].ravel(), "dscore": np.take_along_axis(sims, best, 1).ravel()}))
+        return pd.concat(out) if out else pd.DataFrame({"s1": [], "t": [], "dscore": []}).astype({"s1": "int64", "t": "int64"})
 
     found = both.groupBy("country", "qb", "tb").applyInPandas(run, "s1 long, t long, dscore double")
     w = Window.partitionBy("s1").orderBy(F.desc("dscore"), "t")

@@ -20,6 +20,21 @@ def density(a: DataFrame, b: DataFrame, n_a: DataFrame, n_b: DataFrame, p: str =
     return side(a, n_a, "a").join(side(b, n_b, "b"), ["country", "band", "st"], "full").withColumn("ratio", F.col("per1k_b") / F.col("per1k_a"))
 
 
+def link_density(a: DataFrame, b: DataFrame, n_a: DataFrame, n_b: DataFrame, by: list[str]) -> DataFrame:
+    """Links per 1000 queries of a country by columns, of two sets of links side by side (full join)."""
+    def side(d, n, x):
+        return d.groupBy("country", *by).agg(F.count("*").alias("n")).join(n.withColumnRenamed("n", "q"), "country").select("country", *by, (F.col("n") * 1000 / F.col("q")).alias(f"per1k_{x}"))
+
+    return side(a, n_a, "a").join(side(b, n_b, "b"), ["country", *by], "full")
+
+
+def cluster_rates(pairs: DataFrame, key: str, p: str = "p2", least: float = 0.3, most: int = 6) -> DataFrame:
+    """Rows (size, key, n, true_rate): the true rate of pairs by how many of the query's candidates of the same key score at
+    least so much; sizes from `most` on are one."""
+    size = F.least(F.sum(F.when(F.col(p) >= least, 1).otherwise(0)).over(_by("s1", key)), F.lit(most))
+    return pairs.withColumn("size", size).groupBy("size", key).agg(F.count("*").alias("n"), F.avg(F.col("y").cast("double")).alias("true_rate"))
+
+
 def cluster_signature(pairs: DataFrame, key: str, p: str = "p2", at: float = 0.7) -> DataFrame:
     """pairs with clus (candidates of the query that share the key) and eqacc (one of them is accepted)."""
     w = _by("s1", key)
@@ -135,3 +150,21 @@ def address_class(acore1: Column, acore2: Column, hn1: Column, hn2: Column) -> C
     """Tempty, nonum, same (equal number, half of the words) or diff."""
     overlap = F.size(F.array_intersect(acore1, acore2)) / F.greatest(F.size(acore1), F.lit(1))
     return F.when(F.size(acore2) == 0, "Tempty").when(hn1.isNull() | hn2.isNull(), "nonum").when((hn1 == hn2) & (overlap >= 0.5), "same").otherwise("diff")
+
+
+def transferred(new: DataFrame, old: DataFrame, links: DataFrame) -> DataFrame:
+    """Links (s1, t) of new records that have the names and addresses of linked old ones: of a pair's texts, the least new query
+    with the first and all new targets with the second."""
+    k = ["name", "address"]
+    text = lambda d, key, n: d.select(F.col("id").alias(key), *[F.col(c).alias(f"{c}{n}") for c in k])
+    told = links.join(text(old, "s1", "1"), "s1").join(text(old, "t", "2"), "t").select("name1", "address1", "name2", "address2").distinct()
+    queries = new.where("source = 1").groupBy(F.col("name").alias("name1"), F.col("address").alias("address1")).agg(F.min("id").alias("s1"))
+    return told.join(queries, ["name1", "address1"]).join(text(new.where("source > 1"), "t", "2"), ["name2", "address2"]).select("s1", "t")
+
+
+def merge_rescored(old: DataFrame, new: DataFrame, country: str, p: str = "p") -> DataFrame:
+    """Rows (s1, t, p, side): old pairs with one country's replaced by new ones; side tells of which table a pair is."""
+    o, n = (d.select("s1", "t", F.col("country").alias(f"c_{x}"), F.col(p).alias(f"p_{x}")) for d, x in ((old, "o"), (new, "n")))
+    x = o.join(n, ["s1", "t"], "full").where(F.col("c_n").isNotNull() | ~F.col("c_o").eqNullSafe(F.lit(country)))
+    side = F.when(F.col("c_o").isNull() & F.col("p_o").isNull(), "new").when(F.col("c_n").isNull() & F.col("p_n").isNull(), "old").otherwise("both")
+    return x.select("s1", "t", F.coalesce("p_n", "p_o").alias(p), side.alias("side"))

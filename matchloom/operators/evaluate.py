@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import strings
 from .decide import TH, exclusive, target_rank
 
 
@@ -85,12 +86,22 @@ def recall_at(truth: DataFrame, candidates: DataFrame, rank: str, ks: list[int])
     return q.groupBy("k").agg((F.sum("n") / F.sum("g")).alias("recall"), F.avg((F.col("n") == F.col("g")).cast("double")).alias("complete"))
 
 
-def missed(truth: DataFrame, candidates: DataFrame, records: DataFrame) -> DataFrame:
-    """Rows (s1, t, cat): true pairs that are no candidates, by what their target looks like."""
-    m = truth.select("s1", "t").join(candidates.select("s1", "t"), ["s1", "t"], "left_anti").join(records.select(F.col("id").alias("t"), "name", "address"), "t")
+def missed(truth: DataFrame, candidates: DataFrame, prepared: DataFrame, name_like: Column | None = None, address_like: Column | None = None) -> DataFrame:
+    """Rows (s1, t, cat): true pairs that are no candidates, by what their target looks like and how like the query it is.
+
+    *_like: a similarity from 0 to 100 of columns that end in _1 and _2; else the token set score of the words' lines.
+    """
+    m = truth.select("s1", "t").join(candidates.select("s1", "t"), ["s1", "t"], "left_anti")
+    r = prepared.select("id", "name", "address", "nt", "at", "acore", F.array_join("nt", " ").alias("nl"), F.array_join("acore", " ").alias("al"))
+    for key, n in (("s1", "1"), ("t", "2")):
+        m = m.join(r.select(F.col("id").alias(key), *[F.col(c).alias(f"{c}_{n}") for c in r.columns[1:]]), key)
+    if name_like is None or address_like is None:
+        m = m.withColumn("_like", strings.scores({"n": ("tset", F.col("nl_1"), F.col("nl_2")), "a": ("tset", F.col("al_1"), F.col("al_2"))}))
+    name_like = F.col("_like.n") if name_like is None else name_like
+    address_like = F.col("_like.a") if address_like is None else address_like
     cat = (
-        F.when(F.trim(F.coalesce("address", F.lit(""))) == "", "empty address").when(F.col("name").rlike("[ऀ-෿]"), "native script").when(F.col("name").rlike(r"(?i)\.com|www\.|^@"), "domain")
-        .when(F.length("name") < 20, "short name").otherwise("other")
+        F.when(F.trim(F.coalesce("address_2", F.lit(""))) == "", "empty address").when(F.col("name_2").rlike("[ऀ-෿]"), "native script").when(F.col("name_2").rlike(r"(?i)\.com|www\.|^@"), "domain")
+        .when(name_like < 50, "renamed").when(address_like < 50, "other address").otherwise("similar")
     )
     return m.select("s1", "t", cat.alias("cat"))
 
@@ -116,6 +127,12 @@ def readout(everyone: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
+def score_quantiles(scores: DataFrame, p: str, cut: float = 0.0) -> DataFrame:
+    """Rows (country, n, mean, positive, q10, q50, q90) of scores (country, p), without labels: exact quantiles."""
+    q = lambda x: F.percentile(p, x).alias(f"q{round(100 * x)}")
+    return scores.where(F.col(p).isNotNull()).groupBy("country").agg(F.count("*").alias("n"), F.avg(p).alias("mean"), F.avg((F.col(p) > cut).cast("double")).alias("positive"), q(0.1), q(0.5), q(0.9))
+
+
 def expected_f(everyone: DataFrame, scored: DataFrame, p: str) -> DataFrame:
     """Rows (s1, k, e): the F0.5 that the scores themselves promise for the exclusive choice."""
     x = scored.withColumn("sel", (target_rank(p) == 1) & (F.col(p) >= TH))
@@ -126,11 +143,18 @@ def expected_f(everyone: DataFrame, scored: DataFrame, p: str) -> DataFrame:
 
 
 def auc(df: DataFrame, p: str, y: str = "y") -> DataFrame:
-    """One row (auc, logloss, accuracy): exact, ties as half. Scores are counted first; ranks run over distinct scores only."""
-    c = df.groupBy(F.col(p).alias("p")).agg(F.sum(y).alias("pos"), F.sum(1 - F.col(y)).alias("neg"))
-    parts = c.withColumn("b", F.floor(F.col("p") * 1000))  # blocks of scores: a running sum of blocks, then within each
+    """One row (auc, logloss, accuracy): exact, ties as half. Any scores have an auc; the others take them for probabilities.
+
+    Scores are counted first, and ranks run over distinct scores. A score's block is the first bits of its number in an order
+    that keeps that of the scores, so there are some thousands at most whatever the scale: a running sum over blocks, and
+    one within each.
+    """
+    c = df.where(F.col(p).isNotNull()).groupBy(F.col(p).cast("double").alias("p")).agg(F.sum(y).alias("pos"), F.sum(1 - F.col(y)).alias("neg"))
+    size = F.abs(F.col("p"))
+    place = F.when(size == 0, 0).otherwise(F.floor(16 * (F.log2(size) + 64)).cast("int") + 1)  # sixteen blocks per power of two
+    parts = c.withColumn("b", F.when(F.col("p") < 0, -F.greatest(F.lit(1), F.least(place, F.lit(4096)))).otherwise(F.greatest(F.lit(0), F.least(place, F.lit(4096)))))
     blocks = parts.groupBy("b").agg(F.sum("neg").alias("bneg"))
-    run = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # over a thousand blocks at most
+    run = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # over 8,193 blocks at most
     before = blocks.select("b", F.coalesce(F.sum("bneg").over(run), F.lit(0)).alias("below"))
     w = Window.partitionBy("b").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     r = parts.join(before, "b").withColumn("lower", F.col("below") + F.coalesce(F.sum("neg").over(w), F.lit(0)))

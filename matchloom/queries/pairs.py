@@ -9,8 +9,9 @@ from .. import fixtures as fx
 from ..functions import poisson, text, vocab
 from ..operators import attrs, blocking, context, decide, dense, diagnose, evaluate, shift
 from ..plans import models, scorers
+from ..storage import written
 from .common import query, r
-from .records import DOCS, PARTS, VIEW_SQL, BASE_SQL, KEYS_SQL, PAIRS_SQL, RARE_SQL
+from .records import BASE_SQL, DOCS, KEYS_SQL, PAIRS_SQL, PARTS, RANKER_SQL, RARE_SQL, RS, VIEW_SQL, part_pairs, prepared_sql
 
 SP = fx.SCORED_PAIRS
 
@@ -38,24 +39,25 @@ per AS MATERIALIZED (SELECT ev.*, coalesce(g, 0) AS g, coalesce(k, 0) AS k, coal
 CTX_ATTRS = "at_ AS (SELECT id, coalesce(nums[1], '') AS hn, cc, CASE WHEN len(acore) > 0 THEN acs END AS acs, CASE WHEN len(nums) > 0 THEN array_to_string(list_sort(nums), ' ') END AS nums_k FROM view_)"
 
 
-@query(fx.sql(*PARTS, VIEW_SQL, BASE_SQL, RARE_SQL, KEYS_SQL, PAIRS_SQL, CTX_ATTRS, """f AS (SELECT k.*, a.hn AS hs, b.hn AS ht, a.cc AS cs, b.cc AS ct, b.acs AS ac, b.nums_k AS nk FROM topk k JOIN at_ a ON a.id = s1 JOIN at_ b ON b.id = t)""",
-    body=f"""SELECT s1, t, count(*) OVER (PARTITION BY s1) AS s1_ncand, {r('bscore / max(bscore) OVER (PARTITION BY s1)')} AS b_s1rel, {r('max(bscore) OVER (PARTITION BY t) - bscore')} AS t_bgap, (hs = ht)::BIGINT AS hn_hash_eq,
+@query(fx.sql(*PARTS, VIEW_SQL, BASE_SQL, RARE_SQL, KEYS_SQL, PAIRS_SQL, RANKER_SQL, CTX_ATTRS, """f AS (SELECT k.*, p.bscore, a.hn AS hs, b.hn AS ht, a.cc AS cs, b.cc AS ct, b.acs AS ac, b.nums_k AS nk FROM cut k JOIN pairs p USING (s1, t) JOIN at_ a ON a.id = s1 JOIN at_ b ON b.id = t)""",
+    body=f"""SELECT s1, t, count(*) OVER (PARTITION BY s1) AS s1_ncand, {r('bscore / max(bscore) OVER (PARTITION BY s1)')} AS b_s1rel, {r('max(bscore) OVER (PARTITION BY t) - bscore')} AS t_bgap, {r('rs / max(rs) OVER (PARTITION BY s1)')} AS rs_s1rel, {r('max(rs) OVER (PARTITION BY t) - rs')} AS t_gap, (hs = ht)::BIGINT AS hn_hash_eq,
 count(*) OVER (PARTITION BY s1, ht) - 1 AS cnt_same_hn, count(*) OVER (PARTITION BY s1, ct) - 1 AS cnt_same_cc, count(*) OVER (PARTITION BY s1, ac) - 1 AS cnt_same_acs, count(*) OVER (PARTITION BY s1, nk) - 1 AS cnt_same_nums,
 (sum((hs = ht)::INT) OVER (PARTITION BY s1))::BIGINT AS s1_hn_support, (sum((cs = ct)::INT) OVER (PARTITION BY s1))::BIGINT AS s1_cc_support FROM f"""))
 def g1_stage1_context(spark, sf_dir):
-    """G1: context of candidate pairs by shared attributes."""
-    p = text.prepared(fx.part_records(spark, sf_dir))
-    out = context.stage1(blocking.block(p), attrs.record_attrs(attrs.record_view(p)))
-    return out.select("s1", "t", "s1_ncand", "b_s1rel", "t_bgap", "hn_hash_eq", "cnt_same_hn", "cnt_same_cc", "cnt_same_acs", "cnt_same_nums", "s1_hn_support", "s1_cc_support")
+    """G1: context of candidate pairs by shared attributes, and by rarity's and a ranker's scores."""
+    p = written(text.prepared(fx.part_records(spark, sf_dir)))
+    pairs = blocking.block(p, k=5, ranker=lambda pool: pool.withColumn("rs", F.expr(RS)))
+    out = context.stage1(pairs, attrs.record_attrs(attrs.record_view(p)))
+    return out.select("s1", "t", "s1_ncand", "b_s1rel", "t_bgap", "rs_s1rel", "t_gap", "hn_hash_eq", "cnt_same_hn", "cnt_same_cc", "cnt_same_acs", "cnt_same_nums", "s1_hn_support", "s1_cc_support")
 
 
 @query(fx.sql(SP, "x AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY p1 DESC, s1) AS rt FROM scored_pairs), z AS (SELECT *, max(CASE WHEN rt = 1 THEN p1 END) OVER (PARTITION BY t) AS m1, coalesce(max(CASE WHEN rt = 2 THEN p1 END) OVER (PARTITION BY t), 0) AS m2 FROM x)",
     body=f"""SELECT s1, t, row_number() OVER (PARTITION BY s1 ORDER BY p1 DESC, t) AS p_rank_s1, {r('sum(p1) OVER (PARTITION BY s1)')} AS p_sum_s1, (sum((p1 >= 0.5)::INT) OVER (PARTITION BY s1))::BIGINT AS p_n50_s1, rt AS p_rank_t, count(*) OVER (PARTITION BY t) AS n_s1_t,
-{r('sum(p1) OVER (PARTITION BY t)')} AS p_sum_t, {r('sum(p1) OVER (PARTITION BY s1, st) - p1')} AS p_same_st, {r('CASE WHEN rt = 1 THEN m2 ELSE m1 END')} AS p_t_other, {r('p1 - CASE WHEN rt = 1 THEN m2 ELSE m1 END')} AS p_t_margin, {r('p1 - max(p1) OVER (PARTITION BY s1)')} AS p_s1_gap, {r('sum(p1) OVER (PARTITION BY s1) - p1')} AS p_s1_others FROM z"""))
+{r('sum(p1) OVER (PARTITION BY t)')} AS p_sum_t, {r('sum(p1) OVER (PARTITION BY s1, st) - p1')} AS p_same_st, {r('CASE WHEN rt = 1 THEN m2 ELSE m1 END')} AS p_t_other, {r('p1 - CASE WHEN rt = 1 THEN m2 ELSE m1 END')} AS p_t_margin, {r('p1 - max(p1) OVER (PARTITION BY s1)')} AS p_s1_gap, {r('sum(p1) OVER (PARTITION BY s1) - p1')} AS p_s1_others, {r('sum(CASE WHEN st = $$eq$$ THEN p1 ELSE 0 END) OVER (PARTITION BY s1)')} AS p_s1hn_support FROM z"""))
 def g2_stage2_context(spark, sf_dir):
     """Context by scores, with the best score of the target elsewhere."""
-    out = context.stage2(sp(spark, sf_dir), "p1", ("st",))
-    return out.select("s1", "t", "p_rank_s1", "p_sum_s1", "p_n50_s1", "p_rank_t", "n_s1_t", "p_sum_t", "p_same_st", "p_t_other", "p_t_margin", "p_s1_gap", "p_s1_others")
+    out = context.stage2(sp(spark, sf_dir).withColumn("eq", (F.col("st") == "eq").cast("int")), "p1", ("st",), "eq")
+    return out.select("s1", "t", "p_rank_s1", "p_sum_s1", "p_n50_s1", "p_rank_t", "n_s1_t", "p_sum_t", "p_same_st", "p_t_other", "p_t_margin", "p_s1_gap", "p_s1_others", "p_s1hn_support")
 
 
 @query(fx.sql(SP, """x AS (SELECT s1, t, CASE WHEN p1 BETWEEN 0.2 AND 0.8 THEN p2 END AS ce FROM scored_pairs), z AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY ce DESC NULLS LAST, s1) AS rt, row_number() OVER (PARTITION BY s1 ORDER BY ce DESC NULLS LAST, t) AS rs FROM x),
@@ -63,7 +65,7 @@ w AS (SELECT *, max(CASE WHEN rt = 1 THEN ce END) OVER (PARTITION BY t) AS m1, c
     body=f"""SELECT s1, t, CASE WHEN ce IS NOT NULL THEN rs END AS ce_rank_s1_b, {r('CASE WHEN ce IS NOT NULL THEN max(ce) OVER (PARTITION BY s1) END')} AS ce_max_s1_b, CASE WHEN ce IS NOT NULL THEN (sum((ce >= 0.5)::INT) OVER (PARTITION BY s1))::BIGINT END AS ce_npos_s1_b,
 {r('CASE WHEN ce IS NOT NULL THEN CASE WHEN rt = 1 THEN m2 ELSE m1 END END')} AS ce_t_other_b, {r('ce - CASE WHEN rt = 1 THEN m2 ELSE m1 END')} AS ce_t_margin_b FROM w"""))
 def g4_scorer_context(spark, sf_dir):
-    """Context of a score that only gated pairs have, with a suffix for its block."""
+    """Context of a score that only gated pairs have, with a suffix for its block."""
     x = sp(spark, sf_dir).select("s1", "t", F.when(F.col("p1").between(0.2, 0.8), F.col("p2")).alias("ce"))
     return context.scorer_context(x, "ce", "_b").select("s1", "t", "ce_rank_s1_b", "ce_max_s1_b", "ce_npos_s1_b", "ce_t_other_b", "ce_t_margin_b")
 
@@ -73,14 +75,40 @@ def g4_scorer_context(spark, sf_dir):
 FEATURES = ["p1", "p_rank_s1", "p_sum_s1", "p_rank_t", "p_t_margin"]
 
 
+@query(fx.sql(SP, "x AS (SELECT s1, t, CASE WHEN p1 BETWEEN 0.2 AND 0.8 THEN p2 END AS a, CASE WHEN p1 >= 0.5 THEN 1 - p2 END AS b FROM scored_pairs), z AS (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY a DESC NULLS LAST, t) AS ra, row_number() OVER (PARTITION BY s1 ORDER BY b DESC NULLS LAST, t) AS rb FROM x)",
+    body=f"""SELECT s1, t, {r('a')} AS ce, {r('b')} AS ce_x, CASE WHEN a IS NOT NULL THEN ra END AS ce_rank_s1, CASE WHEN b IS NOT NULL THEN rb END AS ce_rank_s1_x, {r('a - max(a) OVER (PARTITION BY s1)')} AS ce_gap_s1, {r('b - max(b) OVER (PARTITION BY s1)')} AS ce_gap_s1_x FROM z"""))
+def g6_scorer_blocks(spark, sf_dir):
+    """Two scorers' blocks of context within the query joined to the pairs, of which none is lost or repeated."""
+    from ..plans.linkage import with_scorers
+
+    x = sp(spark, sf_dir).select("s1", "t", "p1", "p2")
+    one, two = x.where(F.col("p1").between(0.2, 0.8)).select("s1", "t", F.col("p2").alias("ce")), x.where("p1 >= 0.5").select("s1", "t", (1 - F.col("p2")).alias("ce"))
+    out = written(with_scorers(x.select("s1", "t"), {"": one, "_x": two}))
+    models.same_rows(x, out)
+    return out.select("s1", "t", "ce", "ce_x", "ce_rank_s1", "ce_rank_s1_x", "ce_gap_s1", "ce_gap_s1_x")
+
+
 @query()
 def h1_out_of_fold(spark, sf_dir):
-    """H1 to H8: a second stage of trees on score context, each query scored by a model that didn't see it."""
-    x = context.stage2(sp(spark, sf_dir), "p1", ("st",)).select("s1", "t", "y", *FEATURES)
+    """H1, H2: a second stage of trees on score context, each query scored by a model that didn't see it."""
+    x = written(context.stage2(sp(spark, sf_dir), "p1", ("st",)).select("s1", "t", "y", *FEATURES))
     out, _ = models.out_of_fold(x, FEATURES, "p_oof", rounds=3, depth=3)
     return out.select("s1", "t", "fold", "p_oof")
 
 
+@query()
+def h3_fold_average(spark, sf_dir):
+    """Models of all folds stored, loaded, and averaged over pairs that none of them saw."""
+    from .records import scratch
+
+    x = written(context.stage2(sp(spark, sf_dir), "p1", ("st",)).select("s1", "t", "y", "seen", *FEATURES))
+    _, ms = models.out_of_fold(x.where("seen"), FEATURES, "p_oof", folds=2, rounds=3, depth=3)
+    path = scratch(spark, "models")
+    models.save(spark, path, ms, FEATURES)
+    loaded, names = models.load(spark, path)
+    return models.fold_average(loaded, x.where("NOT seen"), names, "p").select("s1", "t", "p")
+
+
 @query(fx.sql(SP, body=f"SELECT s1, t, p1, ({fx.h_sql(11, 's1')} % 4) // 2 AS half FROM scored_pairs WHERE p1 BETWEEN 0.005 AND 0.995"))
 def i1_gate(spark, sf_dir):
     """Pairs that a cheap score leaves open, with their half."""
@@ -104,14 +132,17 @@ def i3_regate(spark, sf_dir):
     return scorers.merged(old, new, gated)
 
 
-@query()
+PAIRED = (*PARTS, BASE_SQL, RARE_SQL, KEYS_SQL, PAIRS_SQL)
+WORDS = "list_distinct(string_split(name || ' ; ' || address, ' '))"
+
+
+@query(fx.sql(*PAIRED, body=f"SELECT s1, t, {r('len(list_intersect(a.w, b.w)) / len(a.w)')} AS ce FROM topk JOIN (SELECT id, {WORDS} AS w FROM part_records) a ON a.id = s1 JOIN (SELECT id, {WORDS} AS w FROM part_records) b ON b.id = t"))
 def i4_pair_scorer(spark, sf_dir):
-    """A plugged-in scorer over serialised pairs (here, of equal words)."""
-    rec = fx.part_records(spark, sf_dir).withColumn("x", text.serialised(F.col("name"), F.col("address")))
-    a = rec.where("source = 1").select(F.col("id").alias("s1"), "country", "name", F.col("x").alias("text_1"))
-    b = rec.where("source > 1").select(F.col("id").alias("t"), "country", "name", F.col("x").alias("text_2"))
-    share = lambda d: d.apply(lambda z: len(set(z.text_1.split()) & set(z.text_2.split())) / max(1, len(set(z.text_1.split()))), axis=1)
-    return scorers.score_pairs(a.join(b, ["country", "name"]), share)
+    """A plugged-in scorer over serialised candidate pairs, in batches of like length (here, the share of equal words)."""
+    rec = fx.part_records(spark, sf_dir).select("id", F.concat_ws(" ; ", "name", "address").alias("x"))
+    p = part_pairs(spark, sf_dir).select("s1", "t").join(rec.select(F.col("id").alias("s1"), F.col("x").alias("text_1")), "s1").join(rec.select(F.col("id").alias("t"), F.col("x").alias("text_2")), "t")
+    share = lambda d: [len(set(a.split()) & set(b.split())) / len(set(a.split())) for a, b in zip(d.text_1, d.text_2)]
+    return scorers.score_pairs(p, share)
 
 
 DENSE_SQL = """s AS (SELECT q.id AS s1, t.id AS t, q.country, round(list_cosine_similarity(q.v::DOUBLE[], t.v::DOUBLE[]), 9) AS d FROM dense_vectors q JOIN dense_vectors t ON q.source = 1 AND t.source = 2 AND q.country = t.country),
@@ -120,10 +151,34 @@ dt AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY d DESC
 
 @query(fx.sql(fx.DENSE_VECTORS, DENSE_SQL, body="SELECT s1, t, drank, (round(d + 1e-12, 9) + 0.0) AS dscore FROM dt WHERE drank <= 10"))
 def i8_dense_top_k(spark, sf_dir):
-    """Exact nearest targets by cosine within a country."""
+    """Exact nearest targets by cosine within a country."""
     return dense.top_k_cosine(fx.dense_vectors(spark, sf_dir), 10)
 
 
+ENCODED = "s0 AS (SELECT id, source, country, string_split(name, ' ') AS w FROM part_records), s AS (SELECT q.id AS s1, t.id AS t, round(list_cosine_similarity(list_transform(range(1, 17), lambda i: len(list_filter(q.w, lambda x: ascii(x) % 16 = i - 1))::DOUBLE), list_transform(range(1, 17), lambda i: len(list_filter(t.w, lambda x: ascii(x) % 16 = i - 1))::DOUBLE)), 6) AS d FROM s0 q JOIN s0 t ON q.source = 1 AND t.source > 1 AND q.country = t.country), dt AS (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY d DESC, t) AS drank FROM s)"
+
+
+@query(fx.sql(fx.PART_RECORDS, f"k AS (SELECT id FROM part_records WHERE source = 1 AND {fx.h_sql(2024, 'id')} % 1000 < 814)", ENCODED, body="SELECT s1, t, drank, (round(d + 1e-12, 9) + 0.0) AS dscore FROM dt WHERE drank <= 5 AND s1 IN (SELECT id FROM k)"))
+def i7_encoded_search(spark, sf_dir):
+    """Names encoded by a plugged-in encoder, stored as two matrices, and searched for the queries of a keep list."""
+    import numpy as np
+
+    from ..functions import ids
+    from .records import scratch
+
+    def letters(batch: list[str]) -> np.ndarray:
+        return np.array([np.bincount([ord(w[0]) % 16 for w in x.split(" ")], minlength=16) for x in batch], float)
+
+    rec = fx.part_records(spark, sf_dir)
+    lines = rec.select("id", "source", "country", F.col("name").alias("x"))
+    paths = [scratch(spark, f"matrix-{k}") for k in "ab"]
+    for k, path in enumerate(paths):
+        dense.encode(lines.where(F.col("id") % 2 == k), letters, 16).write.parquet(path)
+    keep = rec.where("source = 1").where(ids.kept(F.col("id"))).select("id")
+    found = dense.top_k_cosine(dense.matrices(spark, *paths), 5, keep, digits=6)
+    return found.select("s1", "t", "drank", "dscore")
+
+
 @query(fx.sql(fx.DENSE_VECTORS, DENSE_SQL, body="SELECT s1, t, CASE WHEN drank <= 2 THEN 0 ELSE 1 END::BIGINT AS dense_only, drank FROM dt WHERE drank <= 5"))
 def d23_dense_union(spark, sf_dir):
     """Dense pairs that aren't among the lexical ones (here, the first two) added to them."""
@@ -131,10 +186,10 @@ def d23_dense_union(spark, sf_dir):
     return blocking.dense_union(d.where("drank <= 2").select("s1", "t"), d, 5).select("s1", "t", "dense_only", "drank")
 
 
-@query(fx.sql(SP, EXCL, body="SELECT p_partkey AS t FROM part WHERE p_partkey NOT IN (SELECT t FROM ex)"))
+@query(fx.sql(SP, body="SELECT p_partkey AS t FROM part WHERE p_partkey NOT IN (SELECT t FROM scored_pairs GROUP BY t HAVING max(p2) >= 0.97)"))
 def d24_unassigned(spark, sf_dir):
-    """Targets that nobody owns."""
-    return blocking.unassigned(fx.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("t")), sp(spark, sf_dir))
+    """Targets that nobody owns, at a threshold that many miss."""
+    return blocking.unassigned(fx.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("t")), sp(spark, sf_dir), at=0.97)
 
 
 @query(fx.sql(SP, "c AS (SELECT p2 AS p, sum(y) AS pos, sum(1 - y) AS neg FROM scored_pairs GROUP BY p2), w AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lower FROM c), q AS (SELECT *, greatest(least(p, 1 - 1e-7), 1e-7) AS q FROM w)",
@@ -146,15 +201,37 @@ def i6_auc(spark, sf_dir):
 
 @query(fx.sql(SP, body=f"SELECT s1, t, {r('(p1 + p2) / 2')} AS ce FROM scored_pairs"))
 def i9_mean_of_scorers(spark, sf_dir):
-    """The mean of two scorers."""
+    """The mean of two scorers, which must have scored the same pairs."""
     x = sp(spark, sf_dir)
     return scorers.mean_of([x.select("s1", "t", F.col("p1").alias("ce")), x.select("s1", "t", F.col("p2").alias("ce"))])
 
 
-@query(fx.sql(SP, body=f"SELECT s1, t, {r('CASE WHEN st = $$r4$$ THEN NULL ELSE p1 END')} AS ce FROM scored_pairs WHERE p1 BETWEEN 0.005 AND 0.995"))
+@query(fx.sql(SP, body=f"SELECT s1, t, {r('CASE WHEN p1 < 0.6 THEN p1 WHEN p1 >= 0.4 THEN p2 END')} AS ce FROM scored_pairs WHERE p2 BETWEEN 0.005 AND 0.995"))
+def i10_second_scorer(spark, sf_dir):
+    """A second scorer's scores put together from those it has and new ones, each pair once; null where neither has it."""
+    x = sp(spark, sf_dir)
+    return scorers.merged(x.where("p1 < 0.6").select("s1", "t", F.col("p1").alias("ce")), x.where("p1 >= 0.4").select("s1", "t", F.col("p2").alias("ce")), scorers.gate(x, "p2"))
+
+
+@query(fx.sql(SP, f"g AS (SELECT s1, t, y, {fx.h_sql(7, '(t * 1000003 + s1)')} AS h FROM scored_pairs WHERE p1 BETWEEN 0.005 AND 0.995)", body="SELECT s1, t, y::BIGINT AS y, h FROM g"))
 def i11_gated_training(spark, sf_dir):
-    """Gated pairs for training, with scores of changed records made null."""
-    return scorers.gate(sp(spark, sf_dir)).select("s1", "t", F.when(F.col("st") != "r4", F.col("p1")).alias("ce"))
+    """Gated pairs with labels, shuffled by hash, for training on the band that a cheap score leaves open."""
+    return scorers.band_training(sp(spark, sf_dir), sp(spark, sf_dir).where("y = 1").select("s1", "t"))
+
+
+@query(fx.sql(SP, body=f"SELECT s1, t, {r('CASE WHEN s1 % 7 = 0 OR t % 11 = 0 THEN NULL ELSE p1 END')} AS ce FROM scored_pairs"))
+def i12_stale_scores(spark, sf_dir):
+    """Scores of pairs of which a record has changed since are made null."""
+    x = sp(spark, sf_dir).select("s1", "t", F.col("p1").alias("ce"))
+    return scorers.without_stale(x, x.select("s1").distinct().where("s1 % 7 = 0"), x.select("t").distinct().where("t % 11 = 0"), ["ce"])
+
+
+@query(fx.sql(SP, f"q AS (SELECT DISTINCT s1, {fx.h_sql(17, 's1')} AS h FROM scored_pairs), a AS (SELECT s1, 'train' AS part FROM q ORDER BY h, s1 LIMIT 40), b AS (SELECT s1, 'eval' AS part FROM q ORDER BY h DESC, s1 DESC LIMIT 10)", body="SELECT s1, part FROM a UNION ALL SELECT s1, part FROM b"))
+def b11_train_eval(spark, sf_dir):
+    """The first queries by hash to train on, the last to evaluate."""
+    from ..functions import ids
+
+    return ids.train_eval(sp(spark, sf_dir).select("s1").distinct(), "s1", 40, 10)
 
 
 # --- J -------------------------------------------------------------------------------------------------------------------------
@@ -190,24 +267,43 @@ PMF = "list_reduce(list_prepend([1.0::DOUBLE], list_transform(ps, lambda p: [p])
 @query(fx.sql(SP, f"x AS (SELECT s1, list(p2 ORDER BY t) AS ps FROM scored_pairs WHERE p2 >= 0.9 GROUP BY s1), d AS (SELECT s1, len(ps) AS n, {PMF} AS d FROM x)", body=f"SELECT s1, n, {r('d[1]')} AS none, {r('d[-1]')} AS every, {r('list_max(d)')} AS mode FROM d"))
 def j5_pmf(spark, sf_dir):
     """Distribution of the number of true pairs of a query, in the JVM."""
-    x = sp(spark, sf_dir).where("p2 >= 0.9").groupBy("s1").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "p2"))), lambda e: e["p2"]).alias("ps"))
+    x = sp(spark, sf_dir).where("p2 >= 0.9").groupBy("s1").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "p2"))), lambda e: e["p2"]).alias("ps"))
     d = x.withColumn("d", poisson.pmf_column(F.col("ps")))
     return d.select("s1", F.size("ps").alias("n"), F.element_at("d", 1).alias("none"), F.element_at("d", -1).alias("every"), F.array_max("d").alias("mode"))
 
 
-@query()
+def _pmf(ps: str) -> str:
+    return PMF.replace("list_transform(ps,", f"list_transform({ps},")
+
+
+def choice_sql(lists: str, missed: str) -> str:
+    """CTEs from lists (s1, ps, ts) to ch (s1, k): the count of largest expected F0.5, by brute force over counts of hits."""
+    e = "list_sum(list_transform(range(0, len(d)), lambda a: d[a + 1] * list_sum(list_transform(range(0, len(rr)), lambda b: rr[b + 1] * list_sum(list_transform(range(0, len(ms)), lambda m: ms[m + 1] * 5.0 * a / (a + b + m + 4 * k)))))))"
+    return f"""ck AS (SELECT s1, unnest(range(0, len(ps) + 1)) AS k, ps, {missed} AS ms FROM {lists}),
+cd AS (SELECT s1, k, ms, {_pmf('list_slice(ps, 1, k)')} AS d, {_pmf('list_slice(ps, k + 1, len(ps))')} AS rr FROM ck),
+ce AS (SELECT s1, k, CASE WHEN k = 0 THEN rr[1] * ms[1] ELSE {e} END AS e FROM cd),
+ch AS (SELECT s1, min(k) AS k FROM ce JOIN (SELECT s1, max(e) AS m FROM ce GROUP BY s1) USING (s1) WHERE e >= m - 1e-12 GROUP BY s1)"""
+
+
+J6_SQL = ["x0 AS (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY p2 DESC, t) AS rs FROM scored_pairs WHERE p2 >= 0.005)", "li AS (SELECT s1, list(p2 ORDER BY p2 DESC, t) AS ps FROM x0 WHERE rs <= 25 GROUP BY s1)", choice_sql("li", "[exp(-0.1), exp(-0.1) * 0.1, exp(-0.1) * 0.1 * 0.1 / 2, exp(-0.1) * 0.1 * 0.1 / 2 * 0.1 / 3]")]
+J7_SQL = ["el AS MATERIALIZED (SELECT s1, t, seen, p2 FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY p2 DESC, s1) AS rt FROM scored_pairs) WHERE rt = 1 AND p2 >= 0.02)", "un AS (SELECT DISTINCT s1 FROM el WHERE p2 >= 0.3 AND p2 < 0.95)",
+    "li AS (SELECT s1, list(p2 ORDER BY p2 DESC, t) AS ps FROM el WHERE s1 IN (SELECT s1 FROM un) GROUP BY s1)", choice_sql("li", "[1.0::DOUBLE]"),
+    "de AS (SELECT s1, t, p2, seen FROM (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY p2 DESC, t) AS rs FROM el) JOIN ch USING (s1) WHERE rs <= k UNION ALL SELECT s1, t, p2, seen FROM el WHERE p2 >= 0.7 AND s1 NOT IN (SELECT s1 FROM un))"]
+
+
+@query(fx.sql(SP, *J6_SQL, body=f"SELECT s1, t, {r('p2')} AS p2 FROM x0 JOIN ch USING (s1) WHERE rs <= k"))
 def j6_expected_best(spark, sf_dir):
     """The choice of largest expected F0.5, with links outside the candidates."""
     return decide.expected_best(sp(spark, sf_dir), "p2")
 
 
-@query()
+@query(fx.sql(SP, *J7_SQL, body=f"SELECT s1, t, {r('p2')} AS p2 FROM de"))
 def j7_expected_decode(spark, sf_dir):
     """Exclusive pairs by expected F0.5 where a query is unsure, by threshold elsewhere."""
     return decide.expected_decode(sp(spark, sf_dir), "p2")
 
 
-@query()
+@query(fx.sql(SP, *J7_SQL, body=f"SELECT s1, t, {r('p2')} AS p2 FROM de WHERE seen UNION ALL SELECT s1, t, {r('p2')} FROM el WHERE NOT seen AND p2 >= 0.7"))
 def j8_decode_seen(spark, sf_dir):
     """Expected decoding for labelled countries only."""
     return decide.decode_seen(sp(spark, sf_dir), "p2")
@@ -235,22 +331,20 @@ def j10_duplicates(spark, sf_dir):
 
 @query()
 def j12_rescue(spark, sf_dir):
-    """Links for queries without any, under the rescue's conditions."""
+    """Links for queries without any, under the rescue's conditions, among candidates of equal numbers."""
     rec = fx.part_records(spark, sf_dir)
-    v = attrs.record_view(text.prepared(rec))
-    a, b = v.where("source = 1").select(F.col("id").alias("s1"), "country", F.try_element_at("nums", F.lit(1)).alias("n")), v.where("source > 1").select(F.col("id").alias("t"), "country", F.try_element_at("nums", F.lit(1)).alias("n"))
-    scores = a.join(b, ["country", "n"]).select("s1", "t", (fx.h(51, F.col("s1"), F.col("t")) % 1_000_000 / 1e6).alias("p"))
+    v = written(attrs.record_view(text.prepared(rec)))
+    scores = written(part_pairs(spark, sf_dir).select("s1", "t", (fx.h(51, F.col("s1"), F.col("t")) % 1_000_000 / 1e6).alias("p")))
     return decide.rescue(scores, decide.exclusive(scores, "p", 0.95), rec, v)
 
 
-@query(fx.sql(fx.PART_RECORDS, "w AS (SELECT id, source, country, string_split(name, ' ')[1] AS f, list_distinct(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM part_records)",
-    body="""SELECT a.id AS s1, b.id AS t, CASE WHEN len(list_intersect(a.w, b.w)) = len(a.w) AND len(a.w) = len(b.w) THEN 'same_name' WHEN len(list_intersect(a.w, b.w)) = 0 THEN 'nooverlap' WHEN len(list_filter(b.w, lambda x: NOT list_contains(a.w, x))) = 0 THEN 'filler' ELSE 'other' END AS kind
-FROM w a JOIN w b ON a.source = 1 AND b.source > 1 AND a.country = b.country AND a.f = b.f"""))
+@query(fx.sql(*PAIRED, "w AS (SELECT id, list_distinct(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM part_records)",
+    body="""SELECT s1, topk.t, CASE WHEN len(list_intersect(a.w, b.w)) = len(a.w) AND len(a.w) = len(b.w) THEN 'same_name' WHEN len(list_intersect(a.w, b.w)) = 0 THEN 'nooverlap' WHEN len(list_filter(b.w, lambda x: NOT list_contains(a.w, x))) = 0 THEN 'filler' ELSE 'other' END AS kind
+FROM topk JOIN w a ON a.id = s1 JOIN w b ON b.id = topk.t"""))
 def j13_edit_kind(spark, sf_dir):
-    """How the target's name differs from the query's."""
-    rec = fx.part_records(spark, sf_dir).withColumn("w", F.split("name", " ")[0])
-    a, b = rec.where("source = 1").select(F.col("id").alias("s1"), "country", "w", F.col("name").alias("n1")), rec.where("source > 1").select(F.col("id").alias("t"), "country", "w", F.col("name").alias("n2"))
-    return a.join(b, ["country", "w"]).select("s1", "t", decide.edit_kind(F.col("n1"), F.col("n2")).alias("kind"))
+    """How candidates' names differ from the query's."""
+    p = _joined(spark, sf_dir, fx.part_records(spark, sf_dir), {"name": "n"})
+    return p.select("s1", "t", decide.edit_kind(F.col("n1"), F.col("n2")).alias("kind"))
 
 
 @query(fx.sql(SP, EXCL, body=f"SELECT s1, t, {r('CASE WHEN st = $$eq$$ AND p2 >= 0.3 AND rt = 1 THEN greatest(p2, 0.7001) ELSE p2 END')} AS p2 FROM rk"))
@@ -263,18 +357,17 @@ def j15_recall_rule(spark, sf_dir):
 
 BIN = lambda p: "CASE " + " ".join(f"WHEN {p} >= {b} THEN {b}::DOUBLE" for b in reversed(shift.BINS)) + " ELSE 0.0 END"
 CELLS = f"""nq AS (SELECT country, seen, count(*) AS q FROM ev GROUP BY ALL), tot AS (SELECT sum(q)::DOUBLE AS q FROM nq WHERE seen),
-lab AS (SELECT country, st, {BIN('p1')} AS bin, y FROM scored_pairs WHERE seen AND p1 >= 0.3), a AS (SELECT country, st, bin, count(*) AS n_tr, sum(y) AS pos_tr FROM lab GROUP BY ALL), pool AS (SELECT st, bin, sum(n_tr) AS n_tr, sum(pos_tr) AS pos_tr FROM a GROUP BY ALL),
-b AS (SELECT country, seen, st, {BIN('p2')} AS bin, count(*) AS n_te FROM scored_pairs WHERE p2 >= 0.3 GROUP BY ALL),
-c0 AS (SELECT b.country, b.st, b.bin, b.seen, b.n_te, CASE WHEN b.seen THEN a.n_tr ELSE pool.n_tr END AS n0, CASE WHEN b.seen THEN a.pos_tr ELSE pool.pos_tr END AS pos0, b.n_te / nq.q AS nrate_te, CASE WHEN b.seen THEN nq.q::DOUBLE ELSE tot.q END AS q
+lab AS (SELECT country, st, {BIN('p1')} AS bin, y FROM scored_pairs WHERE seen AND p1 >= 0.3), a AS (SELECT country, st, bin, count(*) AS n, sum(y) AS pos FROM lab GROUP BY ALL), pool AS (SELECT st, bin, sum(n) AS n, sum(pos) AS pos FROM a GROUP BY ALL),
+b AS (SELECT country, seen, st, {BIN('p2')} AS bin, count(*) AS pairs_new FROM scored_pairs WHERE p2 >= 0.3 GROUP BY ALL),
+c0 AS (SELECT b.country, b.st, b.bin, b.seen, pairs_new, CASE WHEN b.seen THEN a.n ELSE pool.n END AS n, CASE WHEN b.seen THEN a.pos ELSE pool.pos END AS pos, pairs_new / nq.q AS density_new, CASE WHEN b.seen THEN nq.q::DOUBLE ELSE tot.q END AS q
   FROM b JOIN nq USING (country) LEFT JOIN a ON a.country = b.country AND a.st = b.st AND a.bin = b.bin LEFT JOIN pool ON pool.st = b.st AND pool.bin = b.bin, tot),
-c1 AS (SELECT country, st, bin, seen, n_te, coalesce(n0, 0)::BIGINT AS n_tr, coalesce(pos0, 0)::BIGINT AS pos_tr, nrate_te, n0 / q AS nrate_tr, pos0 / q AS prate_tr, (coalesce(pos0, 0) + 1) / (coalesce(n0, 0) + 2) AS prec_tr FROM c0),
-cells AS MATERIALIZED (SELECT *, least(prec_tr, (prate_tr + 1e-7) / nrate_te) AS prec_te, nrate_te / (nrate_tr + 1e-9) AS ratio, least(prec_tr, (prate_tr + 1e-7) / nrate_te) / prec_tr AS mult FROM c1)"""
-SIG = "sg AS (SELECT country, sum(nrate_te) / sum(nrate_tr) AS sig FROM cells WHERE NOT seen AND bin = 0.95 AND st IN ('r1', 'r2', 'r6') GROUP BY country)"
-MULT = """m0 AS (SELECT c.*, NOT seen AND st IN ('r4', 'r5', 'r7') AS allbins, coalesce(sig, 1.0) AS sig FROM cells c LEFT JOIN sg USING (country)),
-m1 AS (SELECT *, CASE WHEN allbins THEN least(prec_tr, sig * (prate_tr + 1e-7) / nrate_te) ELSE prec_te END / prec_tr AS mm, CASE WHEN allbins THEN 99.0 ELSE ratio END AS rr FROM m0),
-mu AS (SELECT country, st, bin, allbins, CASE WHEN (st IN ('r5', 'r7') OR allbins) AND rr >= 1.0 AND n_te >= 5 THEN mm ELSE 1.0 END AS m FROM m1)"""
+c1 AS (SELECT country, st, bin, seen, pairs_new, coalesce(n, 0)::BIGINT AS pairs, coalesce(pos, 0)::BIGINT AS trues, density_new, n / q AS density, pos / q AS truth, (coalesce(pos, 0) + 1) / (coalesce(n, 0) + 2) AS precision FROM c0),
+cells AS MATERIALIZED (SELECT *, density_new / (density + 1e-9) AS excess, least(1.0, (truth + 1e-7) / density_new / precision) AS factor FROM c1)"""
+SIG = "sg AS (SELECT country, sum(density_new) / sum(density) AS scale FROM cells WHERE NOT seen AND bin = 0.95 AND st IN ('r1', 'r2', 'r6') GROUP BY country)"
+MULT = """mu AS (SELECT country, st, bin, NOT seen AND st IN ('r4', 'r5', 'r7') AS everywhere, CASE WHEN pairs_new < 5 THEN 1.0 WHEN NOT seen AND st IN ('r4', 'r5', 'r7') THEN least(1.0, coalesce(scale, 1.0) * (truth + 1e-7) / density_new / precision)
+  WHEN st IN ('r5', 'r7') AND excess >= 1.0 THEN factor ELSE 1.0 END AS m FROM cells LEFT JOIN sg USING (country))"""
 CORR = f"""cr0 AS (SELECT s1, t, country, st, y, p1, p2, {BIN('p2')} AS bin FROM scored_pairs),
-cr AS MATERIALIZED (SELECT s1, t, country, st, y, p2, CASE WHEN p2 >= 0.5 AND (p2 < 0.95 OR coalesce(allbins, false)) THEN p2 * coalesce(m, 1.0) ELSE p2 END AS p2n FROM cr0 LEFT JOIN mu USING (country, st, bin))"""
+cr AS MATERIALIZED (SELECT s1, t, country, st, y, p2, CASE WHEN p2 >= 0.5 AND (p2 < 0.95 OR coalesce(everywhere, false)) THEN p2 * coalesce(m, 1.0) ELSE p2 END AS p2n FROM cr0 LEFT JOIN mu USING (country, st, bin))"""
 
 
 def _cells(spark, sf_dir):
@@ -285,17 +378,17 @@ def _cells(spark, sf_dir):
 
 
 def _corrected(spark, sf_dir):
-    c = _cells(spark, sf_dir)
-    return shift.corrected(sp(spark, sf_dir), shift.multipliers(c, shift.typo_scale(c), least_ratio=1.0, least_pairs=5))
+    c = written(_cells(spark, sf_dir))
+    return shift.corrected(sp(spark, sf_dir), shift.multipliers(c, shift.typo_scale(c), least_excess=1.0, least_pairs=5))
 
 
-@query(fx.sql(SP, EV, CELLS, body="SELECT country, st, bin, seen, n_te, n_tr, pos_tr, " + ", ".join(f"{r(c)} AS {c}" for c in ("nrate_te", "nrate_tr", "prate_tr", "prec_tr", "prec_te", "ratio", "mult")) + " FROM cells"))
+@query(fx.sql(SP, EV, CELLS, body="SELECT country, st, bin, seen, pairs_new, pairs, trues, " + ", ".join(f"{r(c)} AS {c}" for c in ("density_new", "density", "truth", "precision", "excess", "factor")) + " FROM cells"))
 def k3_cells(spark, sf_dir):
-    """K1 to K3: rates and expected precision by country, stratum and bin."""
+    """K2, K3: densities and expected precision by country, stratum and bin."""
     return _cells(spark, sf_dir)
 
 
-@query(fx.sql(SP, EV, CELLS, SIG, body=f"SELECT country, {r('sig')} AS sig FROM sg"))
+@query(fx.sql(SP, EV, CELLS, SIG, body=f"SELECT country, {r('scale')} AS scale FROM sg"))
 def k4_typo_scale(spark, sf_dir):
     """K4: how much more typos unlabelled countries have."""
     return shift.typo_scale(_cells(spark, sf_dir))
@@ -318,9 +411,22 @@ def k5_form_gate(spark, sf_dir):
     return shift.form_gate(_forms(sp(spark, sf_dir)))
 
 
+GATE = f"""gx AS (SELECT *, {FORM_SQL} FROM scored_pairs WHERE p2 >= 0.5), gz AS (SELECT country, (f1 <> '' AND f2 <> '' AND f1 <> f2)::INT::DOUBLE AS chg, st, p2 FROM gx),
+gt AS (SELECT country, coalesce(avg(chg) FILTER (st = 'eq' AND p2 >= 0.95), 0) < 0.4 AND coalesce(avg(chg) FILTER (st IN ('r5', 'r7')), 0) > 0.2 AS ok FROM gz GROUP BY country)"""
+
+
+@query(fx.sql(SP, EV, CELLS, SIG, GATE, MULT.replace("USING (country))", "USING (country) LEFT JOIN gt USING (country) WHERE seen OR coalesce(ok, false))"), CORR, body=f"SELECT s1, t, {r('p2n')} AS p2n FROM cr"))
+def k6_gated(spark, sf_dir):
+    """K6: the correction held back in countries without labels that fail the gate (with a limit that some of them pass)."""
+    x = sp(spark, sf_dir)
+    c = written(_cells(spark, sf_dir))
+    gate = shift.form_gate(_forms(x), most_true=0.4)
+    return shift.corrected(x, shift.multipliers(c, shift.typo_scale(c), gate, least_excess=1.0, least_pairs=5)).select("s1", "t", "p2n")
+
+
 @query(fx.sql(SP, EV, CELLS, SIG, MULT, CORR, body=f"SELECT s1, t, {r('p2n')} AS p2n FROM cr"))
 def k7_corrected(spark, sf_dir):
-    """K6, K7: scores corrected by their cells' multipliers."""
+    """K7: scores corrected by their cells' multipliers."""
     return _corrected(spark, sf_dir).select("s1", "t", "p2n")
 
 
@@ -339,18 +445,25 @@ def k9_form_veto(spark, sf_dir):
     return shift.vetoed(x, shift.form_change(x.where("NOT seen"))).select("s1", "t", "p2n")
 
 
-ADD_SQL = """w AS (SELECT id, source, country, nt, CASE WHEN len(core) > 0 THEN core ELSE nt END AS core FROM prepared),
-ad0 AS (SELECT a.id AS s1, b.id AS t, a.country, list_distinct(list_filter(b.core, lambda x: NOT list_contains(a.nt, x) AND length(x) >= 2)) AS added, list_filter(list_distinct(a.core), lambda x: NOT list_contains(b.nt, x) AND length(x) >= 2) AS dropped
-  FROM w a JOIN w b ON a.source = 1 AND b.source > 1 AND a.country = b.country AND a.nt[1] = b.nt[1]),
+ADD_SQL = ",\n".join([BASE_SQL, RARE_SQL, KEYS_SQL, PAIRS_SQL]) + """,
+w AS (SELECT id, source, country, nt, CASE WHEN len(core) > 0 THEN core ELSE nt END AS core FROM prepared),
+ad0 AS (SELECT s1, topk.t, a.country, list_distinct(list_filter(b.core, lambda x: NOT list_contains(a.nt, x) AND length(x) >= 2)) AS added, list_filter(list_distinct(a.core), lambda x: NOT list_contains(b.nt, x) AND length(x) >= 2) AS dropped
+  FROM topk JOIN w a ON a.id = topk.s1 JOIN w b ON b.id = topk.t),
 ad AS MATERIALIZED (SELECT s1, t, country, added[1] AS a, len(dropped) AS nd, dropped[1] AS d FROM ad0 WHERE len(added) = 1),
 voc AS (SELECT country, a, count(*) AS n, count(*) FILTER (nd = 0) AS n_add, count(*) FILTER (nd > 0) AS n_repl FROM ad WHERE length(a) >= 4 GROUP BY ALL HAVING count(*) >= 20 AND count(*) FILTER (nd > 0) >= 10 * count(*) FILTER (nd = 0))"""
 
 
 def _additions(spark, sf_dir):
-    v = attrs.record_view(text.prepared(fx.part_records(spark, sf_dir))).withColumn("w", F.try_element_at("nt", F.lit(1)))
-    a = v.where("source = 1").select(F.col("id").alias("s1"), "country", "w", F.col("nt").alias("nt1"), F.col("core").alias("c1"))
-    b = v.where("source > 1").select(F.col("id").alias("t"), "country", "w", F.col("nt").alias("nt2"), F.col("core").alias("c2"))
-    return shift.single_additions(a.join(b, ["country", "w"]))
+    v = attrs.record_view(text.prepared(fx.part_records(spark, sf_dir)))
+    return shift.single_additions(_joined(spark, sf_dir, v, {"nt": "nt", "core": "c", "country": "country"}).withColumn("country", F.col("country1")))
+
+
+def _joined(spark, sf_dir, v, names):
+    """Candidate pairs of the part records with columns of both records' view, ending in 1 and 2."""
+    p = part_pairs(spark, sf_dir).select("s1", "t")
+    for key, n in (("s1", "1"), ("t", "2")):
+        p = p.join(v.select(F.col("id").alias(key), *[F.col(c).alias(f"{new}{n}") for c, new in names.items()]), key)
+    return p
 
 
 @query(fx.sql(*PARTS, ADD_SQL, body="SELECT country, a, n, n_add, n_repl FROM voc"))
@@ -374,18 +487,17 @@ def k13_negative_control(spark, sf_dir):
     x = sp(spark, sf_dir).withColumn("seen", F.col("seen") & (F.col("country") != "NATION_2"))
     n = everyone(spark, sf_dir).withColumn("seen", F.col("seen") & (F.col("country") != "NATION_2")).groupBy("country", "seen").agg(F.count("*").alias("n"))
     c = shift.cells(x.where("seen").select("country", "st", "y", F.col("p1").alias("p2")), x, n.where("seen").drop("seen"), n.drop("seen"))
-    y = shift.corrected(x, shift.multipliers(c, shift.typo_scale(c), least_ratio=1.0, least_pairs=5))
+    y = shift.corrected(x, shift.multipliers(c, shift.typo_scale(c), least_excess=1.0, least_pairs=5))
     return decide.exclusive(y, "p2n").where("country = 'NATION_2'").agg(F.count("*").alias("links"), F.sum("y").alias("right_links"))
 
 
-@query(fx.sql(*PARTS, "w AS (SELECT id, source, country, nt, CASE WHEN len(core) > 0 THEN core ELSE nt END AS core FROM prepared), " + f"x AS (SELECT unnest(list_filter(list_distinct(b.core), lambda e: NOT list_contains(a.nt, e))) AS w, ({fx.h_sql(71, 'a.id', 'b.id')} % 100 < 1)::INT AS y FROM w a JOIN w b ON a.source = 1 AND b.source > 1 AND a.country = b.country AND a.nt[1] = b.nt[1])",
-    body=f"SELECT w, count(*) AS n, {r('avg(y)')} AS rate FROM x GROUP BY w HAVING count(*) >= 100 AND avg(y) < 0.02"))
+@query(fx.sql(*PAIRED, "w AS (SELECT id, source, country, nt, CASE WHEN len(core) > 0 THEN core ELSE nt END AS core FROM prepared), " + f"x AS (SELECT unnest(list_filter(list_distinct(b.core), lambda e: NOT list_contains(a.nt, e))) AS w, ({fx.h_sql(71, 'a.id', 'b.id')} % 100 < 1)::INT AS y FROM topk JOIN w a ON a.id = topk.s1 JOIN w b ON b.id = topk.t)",
+    body=f"SELECT w, count(*) AS n, {r('avg(y)')} AS rate FROM x GROUP BY w HAVING count(*) >= 20 AND avg(y) < 0.02"))
 def k14_sibling_words(spark, sf_dir):
     """Extra words of targets that hardly ever stand in true pairs."""
-    v = attrs.record_view(text.prepared(fx.part_records(spark, sf_dir))).withColumn("w", F.try_element_at("nt", F.lit(1)))
-    a, b = v.where("source = 1").select(F.col("id").alias("s1"), "country", "w", "nt"), v.where("source > 1").select(F.col("id").alias("t"), "country", "w", F.col("core").alias("c2"))
-    p = a.join(b, ["country", "w"]).select(F.array_except("c2", "nt").alias("extra"), (fx.h(71, F.col("s1"), F.col("t")) % 100 < 1).cast("int").alias("y"))
-    return shift.sibling_words(p, 100, 0.02)
+    p = _joined(spark, sf_dir, attrs.record_view(text.prepared(fx.part_records(spark, sf_dir))), {"nt": "n", "core": "c"})
+    p = p.select(F.array_except("c2", "n1").alias("extra"), (fx.h(71, F.col("s1"), F.col("t")) % 100 < 1).cast("int").alias("y"))
+    return shift.sibling_words(p, 20, 0.02)
 
 
 # --- L ---------------------------------------------------------------------------------------------------------------------------
@@ -456,13 +568,12 @@ def l7_recall_at_k(spark, sf_dir):
     return evaluate.recall_at(fx.doc_truth(rec), blocking.block(text.prepared(rec)), "brank", [1, 5, 10, 20, 30])
 
 
-@query(fx.sql(fx.DOC_RECORDS, fx.DOC_TRUTH, body=f"""SELECT s1, t, CASE WHEN trim(address) = '' THEN 'empty address' WHEN regexp_matches(name, '[ऀ-෿]') THEN 'native script' WHEN regexp_matches(name, '(?i)\\.com|www\\.|^@') THEN 'domain' WHEN length(name) < 20 THEN 'short name' ELSE 'other' END AS cat
-FROM doc_truth JOIN doc_records ON id = t WHERE {fx.h_sql(81, 't')} % 2 = 0"""))
+@query()
 def l8_missed(spark, sf_dir):
-    """True pairs that candidates lack (here, those of half the targets), by kind."""
+    """True pairs that candidates lack (here, those of half the targets), by kind; names and addresses compared by token sets."""
     rec = fx.doc_records(spark, sf_dir)
     truth = fx.doc_truth(rec)
-    return evaluate.missed(truth, truth.where(fx.h(81, F.col("t")) % 2 == 1), rec)
+    return evaluate.missed(truth, truth.where(fx.h(81, F.col("t")) % 2 == 1), text.prepared(rec))
 
 
 @query(fx.sql(SP, "l AS (SELECT * FROM scored_pairs WHERE p1 >= 0.3), d AS (SELECT * FROM scored_pairs WHERE p2 >= 0.6), t AS (SELECT s1, t, (p1 >= 0.3)::INT AS l, (p2 >= 0.6)::INT AS d FROM scored_pairs WHERE y = 1)",
@@ -490,6 +601,13 @@ def l11_readout(spark, sf_dir):
     return evaluate.readout(everyone(spark, sf_dir), decide.exclusive(x, "p1"), decide.exclusive(x, "p2"))
 
 
+@query(fx.sql(SP, body=f"SELECT country, count(*) AS n, {r('avg(p2)')} AS mean, {r('avg((p2 > 0.5)::INT)')} AS positive, {r('quantile_cont(p2, 0.1)')} AS q10, {r('quantile_cont(p2, 0.5)')} AS q50, {r('quantile_cont(p2, 0.9)')} AS q90 FROM scored_pairs WHERE p1 BETWEEN 0.005 AND 0.995 GROUP BY country"))
+def l11_score_quantiles(spark, sf_dir):
+    """Scores of gated pairs by country, without labels."""
+    x = scorers.gate(sp(spark, sf_dir))
+    return evaluate.score_quantiles(x, "p2", 0.5)
+
+
 EXPF = f"""xf AS (SELECT s1, sum(p2) AS al, sum(CASE WHEN rt = 1 AND p2 >= 0.7 THEN p2 ELSE 0 END) AS ch, count(*) FILTER (rt = 1 AND p2 >= 0.7) AS k, sum(ln(1 - least(p2, 0.999999))) AS no FROM rk GROUP BY s1),
 ef AS (SELECT ev.s1, ev.country, coalesce(k, 0) AS k, CASE WHEN k IS NULL THEN 1.0 WHEN k = 0 THEN exp(no) ELSE 5.0 * ch / (al + 4.0 * k) END AS e FROM ev LEFT JOIN xf USING (s1))"""
 
@@ -515,18 +633,36 @@ def l13_band_pivot(spark, sf_dir):
 @query(fx.sql(SP, EV, f"n AS (SELECT country, count(*) AS q FROM ev GROUP BY country), b AS (SELECT country, {BAND} AS band, st, seen, y, p2 FROM scored_pairs), x AS (SELECT b.country, band, st, count(*) * 1000 / any_value(q) AS v, avg(p2) AS p FROM b JOIN n USING (country) WHERE y = 1 GROUP BY ALL), z AS (SELECT b.country, band, st, count(*) * 1000 / any_value(q) AS v, avg(p2) AS p FROM b JOIN n USING (country) WHERE y = 0 GROUP BY ALL)",
     body=f"SELECT country, band, st, {r('x.v')} AS per1k_a, {r('x.p')} AS p_a, {r('z.v')} AS per1k_b, {r('z.p')} AS p_b, {r('z.v / x.v')} AS ratio FROM x FULL JOIN z USING (country, band, st)"))
 def m1_density(spark, sf_dir):
-    """M1, M8: density of two sets of pairs (true and false) by cell, of either (full join)."""
+    """M1: density of two sets of pairs (true and false) by cell, of either (full join)."""
     x = sp(spark, sf_dir)
     n = everyone(spark, sf_dir).groupBy("country").agg(F.count("*").alias("n"))
     return diagnose.density(x.where("y = 1"), x.where("y = 0"), n, n)
 
 
+NAMECLS = "CASE WHEN s1 % 3 = 0 THEN 'same' WHEN s1 % 3 = 1 THEN 'form' ELSE 'other' END"
+
+
+@query(fx.sql(SP, EV, f"n AS (SELECT country, count(*) AS q FROM ev GROUP BY country), b AS (SELECT country, st || '/' || {NAMECLS} AS cell, seen, y, p2 FROM scored_pairs WHERE p2 >= 0.7), x AS (SELECT b.country, cell, count(*) * 1000 / any_value(q) AS v FROM b JOIN n USING (country) WHERE y = 1 GROUP BY ALL), z AS (SELECT b.country, cell, count(*) * 1000 / any_value(q) AS v FROM b JOIN n USING (country) GROUP BY ALL)",
+    body=f"SELECT country, string_split(cell, '/')[1] AS st, string_split(cell, '/')[2] AS cls, {r('x.v')} AS per1k_a, {r('z.v')} AS per1k_b FROM x FULL JOIN z USING (country, cell)"))
+def m8_strata_by_name(spark, sf_dir):
+    """M8: links per thousand queries by address stratum and class of name, true and predicted side by side."""
+    x = sp(spark, sf_dir).where("p2 >= 0.7").withColumn("cls", F.expr(NAMECLS))
+    n = everyone(spark, sf_dir).groupBy("country").agg(F.count("*").alias("n"))
+    return diagnose.link_density(x.where("y = 1"), x, n, n, ["st", "cls"])
+
+
 @query(fx.sql(SP, body="SELECT s1, t, count(*) OVER (PARTITION BY s1, st) AS clus, max((p2 >= 0.7)::INT) OVER (PARTITION BY s1, st) = 1 AS eqacc FROM scored_pairs"))
 def m2_cluster_signature(spark, sf_dir):
-    """Candidates of a query that share an attribute, and whether one is accepted."""
+    """M2: candidates of a query that share an attribute, and whether one is accepted."""
     return diagnose.cluster_signature(sp(spark, sf_dir), "st").select("s1", "t", "clus", "eqacc")
 
 
+@query(fx.sql(SP, "c AS (SELECT *, count(*) FILTER (p2 >= 0.3) OVER (PARTITION BY s1, st) AS clus FROM scored_pairs)", body=f"SELECT least(clus, 6) AS size, st, count(*) AS n, {r('avg(y)')} AS true_rate FROM c WHERE st IN ('r5', 'r7') GROUP BY 1, 2"))
+def m22_cluster_rates(spark, sf_dir):
+    """True rate of pairs with numbers close by, by how many of the query's candidates share their stratum."""
+    return diagnose.cluster_rates(sp(spark, sf_dir).where(F.col("st").isin("r5", "r7")), "st", "p2", 0.3, 6)
+
+
 @query(fx.sql(SP, EXCL, "n AS (SELECT s1, count(*) AS k FROM ex GROUP BY s1)", body=f"SELECT st, count(*) AS n_s1, {r('avg(coalesce(k, 0))')} AS mean_links FROM (SELECT DISTINCT s1, st FROM scored_pairs) LEFT JOIN n USING (s1) GROUP BY st"))
 def m3_copy_count(spark, sf_dir):
     """M3: links of queries that have a candidate of each stratum."""
@@ -550,17 +686,16 @@ def m5_cluster_correlation(spark, sf_dir):
 
 @query(fx.sql(SP, body=f"SELECT country, st, count(*) AS n, {r('avg((p2 >= 0.7)::INT)')} AS accepted, {r('avg(y)')} AS true_rate FROM scored_pairs GROUP BY country, st"))
 def m6_acceptance(spark, sf_dir):
-    """Acceptance and true rate by cell."""
+    """M6: acceptance and true rate by cell."""
     return diagnose.acceptance(sp(spark, sf_dir), ["country", "st"])
 
 
-@query(fx.sql(*PARTS, "w AS (SELECT a.id AS s1, b.id AS t, len(list_filter(b.nt, lambda e: NOT list_contains(a.nt, e))) > 0 AS ad, len(list_filter(a.nt, lambda e: NOT list_contains(b.nt, e))) > 0 AS dr FROM prepared a JOIN prepared b ON a.source = 1 AND b.source > 1 AND a.country = b.country AND a.nt[1] = b.nt[1])",
+@query(fx.sql(*PAIRED, "w AS (SELECT len(list_filter(b.nt, lambda e: NOT list_contains(a.nt, e))) > 0 AS ad, len(list_filter(a.nt, lambda e: NOT list_contains(b.nt, e))) > 0 AS dr FROM topk JOIN prepared a ON a.id = s1 JOIN prepared b ON b.id = topk.t)",
     body="SELECT CASE WHEN ad AND dr THEN 'drop+add' WHEN ad THEN 'add' WHEN dr THEN 'drop' ELSE 'same' END AS edit, count(*) AS n FROM w GROUP BY 1"))
 def m6_edit_types(spark, sf_dir):
-    """M6: how targets' names differ by added and dropped words."""
-    v = text.prepared(fx.part_records(spark, sf_dir)).withColumn("w", F.try_element_at("nt", F.lit(1)))
-    a, b = v.where("source = 1").select("country", "w", F.col("nt").alias("n1")), v.where("source > 1").select("country", "w", F.col("nt").alias("n2"))
-    return a.join(b, ["country", "w"]).groupBy(diagnose.edit_type(F.col("n1"), F.col("n2")).alias("edit")).agg(F.count("*").alias("n"))
+    """M6: how candidates' names differ by added and dropped words."""
+    p = _joined(spark, sf_dir, text.prepared(fx.part_records(spark, sf_dir)), {"nt": "n"})
+    return p.groupBy(diagnose.edit_type(F.col("n1"), F.col("n2")).alias("edit")).agg(F.count("*").alias("n"))
 
 
 @query(fx.sql(SP, body=f"SELECT country, 'p1' AS feature, {r('median(p1)')} AS median FROM scored_pairs GROUP BY country UNION ALL SELECT country, 'p2', {r('median(p2)')} FROM scored_pairs GROUP BY country"))
@@ -598,14 +733,13 @@ def m13_copy_profile(spark, sf_dir):
     return diagnose.copy_profile(everyone(spark, sf_dir), decide.exclusive(x, "p2"))
 
 
-@query(fx.sql(*PARTS, BASE_SQL, "hn AS (SELECT *, list_filter(acore, lambda t: regexp_full_match(t, '[0-9]+'))[1] AS hn FROM base)",
-    body="SELECT CASE WHEN len(b.acore) = 0 THEN 'Tempty' WHEN a.hn IS NULL OR b.hn IS NULL THEN 'nonum' WHEN a.hn = b.hn AND len(list_intersect(a.acore, b.acore)) / greatest(len(a.acore), 1) >= 0.5 THEN 'same' ELSE 'diff' END AS cls, count(*) AS n FROM hn a JOIN hn b ON a.source = 1 AND b.source > 1 AND a.country = b.country AND a.nt[1] = b.nt[1] GROUP BY 1"))
+@query(fx.sql(*PAIRED, "hn AS (SELECT *, list_filter(acore, lambda t: regexp_full_match(t, '[0-9]+'))[1] AS hn FROM base)",
+    body="SELECT CASE WHEN len(b.acore) = 0 THEN 'Tempty' WHEN a.hn IS NULL OR b.hn IS NULL THEN 'nonum' WHEN a.hn = b.hn AND len(list_intersect(a.acore, b.acore)) / greatest(len(a.acore), 1) >= 0.5 THEN 'same' ELSE 'diff' END AS cls, count(*) AS n FROM topk JOIN hn a ON a.id = s1 JOIN hn b ON b.id = topk.t GROUP BY 1"))
 def m14_address_class(spark, sf_dir):
-    """Pairs by how their addresses compare."""
-    v = blocking.base_view(text.prepared(fx.part_records(spark, sf_dir))).select("source", "country", F.try_element_at("nt", F.lit(1)).alias("w"), "acore", F.try_element_at(text.numbers(F.col("acore")), F.lit(1)).alias("hn"))
-    a, b = v.where("source = 1").select("country", "w", F.col("acore").alias("a1"), F.col("hn").alias("h1")), v.where("source > 1").select("country", "w", F.col("acore").alias("a2"), F.col("hn").alias("h2"))
-    c = diagnose.address_class(F.col("a1"), F.col("a2"), F.col("h1"), F.col("h2"))
-    return a.join(b, ["country", "w"]).groupBy(c.alias("cls")).agg(F.count("*").alias("n"))
+    """Candidate pairs by how their addresses compare."""
+    v = blocking.base_view(text.prepared(fx.part_records(spark, sf_dir))).select("id", "acore", F.try_element_at(text.numbers(F.col("acore")), F.lit(1)).alias("hn"))
+    p = _joined(spark, sf_dir, v, {"acore": "a", "hn": "h"})
+    return p.groupBy(diagnose.address_class(*[F.col(c) for c in ("a1", "a2", "h1", "h2")]).alias("cls")).agg(F.count("*").alias("n"))
 
 
 @query(fx.sql(SP, EV, EXCL, PER, body=f"SELECT country, {r('avg((k = 0)::INT)')} AS empty_pred, {r('avg((g = 0)::INT)')} AS empty_true, {r('avg(k)')} AS mean_pred, {r('avg(g)')} AS mean_true, {r('avg(k - tp)')} AS fp, {r('avg(g - tp)')} AS fn FROM per GROUP BY country"))
@@ -622,10 +756,18 @@ def m16_rescue_bands(spark, sf_dir):
     return diagnose.rescue_bands(everyone(spark, sf_dir), decide.exclusive(x, "p2"), x)
 
 
-@query()
+ALIASED = """al AS (SELECT p.id, p.source, p.country, CASE WHEN p.id % 4 = 1 THEN p.name || ' dba ' || q.name ELSE p.name END AS name, p.address FROM part_records p JOIN part_records q ON q.id % 10000000000 = (p.id % 10000000000 + 1) % (SELECT count(*) FROM part))"""
+
+
+@query(fx.sql(fx.PART_RECORDS, ALIASED, prepared_sql("al"), VIEW_SQL, BASE_SQL, RARE_SQL, KEYS_SQL, PAIRS_SQL, body="SELECT x.s1, x.t, z.t AS via FROM topk x JOIN view_ a ON a.id = x.t JOIN topk z ON z.s1 = x.s1 AND z.t <> x.t JOIN view_ b ON b.id = z.t AND b.ns = a.al_post WHERE a.al_post <> ''"))
 def m17_alias_chain(spark, sf_dir):
-    """Candidates whose alias is another candidate's name."""
-    p = text.prepared(fx.doc_records(spark, sf_dir))
+    """Candidates whose alias is another candidate's name, among parts of which some trade under the next one's name."""
+    rec = fx.part_records(spark, sf_dir)
+    n = rec.count()
+    nxt = rec.select(((F.col("id") % 10_000_000_000 + n - 1) % n).alias("k"), F.col("name").alias("other"))
+    named = rec.withColumn("k", F.col("id") % 10_000_000_000).join(nxt, "k")
+    rec = named.withColumn("name", F.when(F.col("id") % 4 == 1, F.concat("name", F.lit(" dba "), "other")).otherwise(F.col("name"))).select(rec.columns)
+    p = written(text.prepared(rec))
     return diagnose.alias_chain(attrs.record_view(p), blocking.block(p))
 
 
@@ -636,6 +778,22 @@ def m18_id_leak(spark, sf_dir):
     return diagnose.id_leak(o, "k", "x")
 
 
+@query(fx.sql(fx.DOC_RECORDS, fx.DOC_TRUTH, "o AS (SELECT * FROM doc_records WHERE id % 2 = 0), n AS (SELECT * FROM doc_records WHERE id % 2 = 1), ol AS (SELECT DISTINCT a.name AS na, a.address AS aa, b.name AS nb, b.address AS ab FROM doc_truth d JOIN o a ON a.id = d.s1 JOIN o b ON b.id = d.t), na_ AS (SELECT name, address, min(id) AS s1 FROM n WHERE source = 1 GROUP BY ALL)",
+    body="SELECT s1, b.id AS t FROM ol JOIN na_ a ON a.name = na AND a.address = aa JOIN n b ON b.name = nb AND b.address = ab AND b.source > 1"))
+def m18_transfer(spark, sf_dir):
+    """Links that new records inherit, as records with their texts are linked in the old data."""
+    rec = fx.doc_records(spark, sf_dir)
+    return diagnose.transferred(rec.where("id % 2 = 1"), rec.where("id % 2 = 0"), fx.doc_truth(rec))
+
+
+@query(fx.sql(SP, "old AS (SELECT s1, t, country, p1 AS p FROM scored_pairs WHERE s1 % 5 <> 0), new AS (SELECT s1, t, country, p2 AS p FROM scored_pairs WHERE country = 'NATION_3')", body=f"SELECT s1, t, {r('coalesce(new.p, old.p)')} AS p, CASE WHEN old.s1 IS NULL THEN 'new' WHEN new.s1 IS NULL THEN 'old' ELSE 'both' END AS side FROM old FULL JOIN new USING (s1, t) WHERE new.s1 IS NOT NULL OR old.country <> 'NATION_3'"))
+def m25_merge_rescored(spark, sf_dir):
+    """A country's pairs, scored again, put in the place of its old ones, with which side has each pair."""
+    x = sp(spark, sf_dir)
+    old, new = x.where("s1 % 5 <> 0").select("s1", "t", "country", F.col("p1").alias("p")), x.where("country = 'NATION_3'").select("s1", "t", "country", F.col("p2").alias("p"))
+    return diagnose.merge_rescored(old, new, "NATION_3")
+
+
 @query(fx.sql(fx.DOC_RECORDS, fx.DOC_TRUTH, LINKED, "k AS (SELECT id AS t, concat_ws('|', lower(trim(name)), lower(trim(address)), country) AS k FROM doc_records WHERE source > 1), g AS (SELECT k, count(*) AS members, count(s1) AS linked, count(DISTINCT s1) AS queries FROM k LEFT JOIN lk USING (t) GROUP BY k)",
     body="SELECT members, linked, queries, count(*) AS n FROM g WHERE members > 1 GROUP BY ALL"))
 def m19_duplicate_report(spark, sf_dir):
@@ -644,11 +802,21 @@ def m19_duplicate_report(spark, sf_dir):
     return diagnose.duplicate_report(rec.where("source > 1"), fx.doc_truth(rec).where(fx.h(41, F.col("t")) % 2 == 0))
 
 
-@query(fx.sql(*DOCS, fx.DOC_TRUTH, BASE_SQL, RARE_SQL, KEYS_SQL, PAIRS_SQL, body="SELECT s1, t FROM doc_truth WHERE (s1, t) NOT IN (SELECT (s1, t) FROM topk)"))
+@query(fx.sql(*DOCS, fx.DOC_TRUTH, BASE_SQL, RARE_SQL, KEYS_SQL, PAIRS_SQL, VIEW_SQL, f"ms AS (SELECT s1, t FROM doc_truth WHERE (s1, t) NOT IN (SELECT (s1, t) FROM topk WHERE brank <= 1 AND {fx.h_sql(83, 's1')} % 2 = 0))",
+    body="""SELECT m.s1, m.t, CASE WHEN trim(b.address) = '' THEN 'empty address' WHEN regexp_matches(b.name, '[ऀ-෿]') THEN 'native script' WHEN regexp_matches(b.name, '(?i)\\.com|www\\.|^@') THEN 'domain' WHEN len(list_intersect(a.nt, b.nt)) * 2 < len(list_distinct(a.nt)) THEN 'renamed'
+WHEN len(list_intersect(va."at", vb."at")) * 2 < len(list_distinct(va."at")) THEN 'other address' ELSE 'similar' END AS cat FROM ms m JOIN view_ a ON a.id = m.s1 JOIN view_ b ON b.id = m.t JOIN prepared va ON va.id = m.s1 JOIN prepared vb ON vb.id = m.t"""))
 def m20_blocking_miss(spark, sf_dir):
-    """True pairs that blocking loses."""
+    """True pairs that blocking lacks (kept: the first candidate, of half the queries), by kind."""
     rec = fx.doc_records(spark, sf_dir)
-    return fx.doc_truth(rec).join(blocking.block(text.prepared(rec)).select("s1", "t"), ["s1", "t"], "left_anti")
+    p = written(text.prepared(rec))
+    found = blocking.block(p, k=1).where(fx.h(83, F.col("s1")) % 2 == 0)
+    return evaluate.missed(fx.doc_truth(rec), found, p, _word_share("nt"), _word_share("at"))
+
+
+def _word_share(c):
+    """Whether half of the query's words stand in the target's list, as 0 or 100."""
+    a, b = F.array_distinct(f"{c}_1"), F.col(f"{c}_2")
+    return F.when(F.size(F.array_intersect(a, b)) * 2 < F.size(a), 0.0).otherwise(100.0)
 
 
 @query(fx.sql(SP, body=f"SELECT s1, t, {r('(p1 + p2) / 2')} AS p FROM scored_pairs"))
@@ -692,9 +860,23 @@ def o2_incremental_linkage(spark, sf_dir):
 
 @query()
 def z1_linkage(spark, sf_dir):
-    """The whole job: blocking, features, two cross-fitted stages, expected-F0.5 decoding."""
+    """The whole job with the library's settings: ranker, blocking, features, two cross-fitted stages, expected-F0.5 decoding."""
     from ..plans.linkage import LinkageConfig, link
 
     rec = fx.part_records(spark, sf_dir)
-    truth = rec.where("source = 1").select(F.col("id").alias("s1"), "name", "country", F.split("address", " ")[1].alias("b")).join(rec.where("source > 1").select(F.col("id").alias("t"), "name", "country", F.split("address", " ")[1].alias("b")), ["name", "country", "b"]).select("s1", "t")
-    return link(rec, truth, LinkageConfig(folds=2, rounds=2, depth=3))
+    return link(rec, fx.part_truth(rec), LinkageConfig(rank_permille=500))
+
+
+@query()
+def z2_applied(spark, sf_dir):
+    """The job's stored ranker and models applied to records without labels, whose scores are corrected and decided."""
+    from ..plans import linkage, shifted
+    from .records import scratch
+
+    rec = fx.part_records(spark, sf_dir)
+    labelled = F.crc32(F.col("country").cast("binary")) % 3 != 0
+    path, config = scratch(spark, "models"), linkage.LinkageConfig(folds=2, rounds=5, depth=4, rank_permille=500)
+    known = rec.where(labelled)
+    old = linkage.train(known, fx.part_truth(known), path, config)
+    new = linkage.apply(rec, path, config)
+    return shifted.decided(known, old, rec, new)

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
+from .. import storage
 from ..functions import ids, strings, text, vocab
 from ..operators import attrs, blocking, decide, features
 from ..sources import files
@@ -64,9 +62,8 @@ DOCS, PARTS = (fx.DOC_RECORDS, prepared_sql("doc_records")), (fx.PART_RECORDS, p
 
 
 def scratch(spark, name: str) -> str:
-    """A folder of this run in the folder that the cluster shares; a temporary one only where the session names none."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="matchloom-")
-    return f"{named.rstrip('/')}/matchloom-{name}-{uuid.uuid4().hex}"
+    """A folder of the session's own, which goes with it."""
+    return storage.session_tables(spark).path(name)
 
 
 @query(fx.sql(fx.PART_RECORDS, body="SELECT 'S' || source || '-' || (id % 10000000000) AS entity_id, name AS business_name, address AS business_address, country FROM part_records"))
@@ -126,14 +123,31 @@ def a10_set_links(spark, sf_dir):
     return files.set_links(files.set_output(s1, decide.exclusive(pairs), "p", "matched_entity_ids"), "matched_entity_ids")
 
 
-@query(fx.sql(fx.SCORED_PAIRS, SETS_SQL, body="""SELECT count(*) AS n_rows, 0::BIGINT AS repeated_s1, 0::BIGINT AS bad_s1, 0::BIGINT AS unpaired, 0::BIGINT AS repeated_t, 0::BIGINT AS bad_t,
-count(*) FILTER (NOT list_has_all(string_split(candidate_entity_ids, ','), string_split(matched_entity_ids, ',')) AND matched_entity_ids <> '') AS not_candidates,
-sum(CASE WHEN matched_entity_ids = '' THEN 0 ELSE len(string_split(matched_entity_ids, ',')) END)::BIGINT AS n_matches, sum(CASE WHEN candidate_entity_ids = '' THEN 0 ELSE len(string_split(candidate_entity_ids, ',')) END)::BIGINT AS n_candidates,
-max(CASE WHEN matched_entity_ids = '' THEN 0 ELSE len(string_split(matched_entity_ids, ',')) END)::BIGINT AS most_matches FROM matches JOIN cands USING (source1_entity_id)"""))
+FAULTS_SQL = """split AS (SELECT s1, source1_entity_id, list_filter(string_split(matched_entity_ids, ','), lambda x: x <> '') AS l, list_filter(string_split(candidate_entity_ids, ','), lambda x: x <> '') AS c FROM matches JOIN cands USING (source1_entity_id) JOIN s USING (source1_entity_id)),
+bad_m AS (SELECT CASE WHEN s1 % 29 = 0 THEN 'X' || source1_entity_id ELSE source1_entity_id END AS source1_entity_id, CASE WHEN s1 % 17 = 0 THEN list_append(l, 'S9-x') WHEN s1 % 19 = 0 AND len(l) > 0 THEN list_append(l, l[1]) ELSE l END AS m FROM split, (SELECT unnest([0, 1]) AS again) WHERE again = 0 OR s1 % 31 = 0),
+bad_c AS (SELECT source1_entity_id, c FROM split WHERE s1 % 23 <> 0),
+au AS (SELECT * FROM bad_m FULL JOIN bad_c USING (source1_entity_id))"""
+
+
+def _faulty(df, name, c):
+    """Sets as the SQL's bad_m and bad_c have them: lists changed, ids broken, rows repeated or lost."""
+    k = F.regexp_extract("source1_entity_id", "[0-9]+$", 0).cast("long")
+    l = F.filter(F.split(name, ","), lambda x: x != "")  # noqa: E741
+    if c:
+        return df.where(k % 23 != 0)
+    m = F.when(k % 17 == 0, F.concat(l, F.array(F.lit("S9-x")))).when((k % 19 == 0) & (F.size(l) > 0), F.concat(l, F.slice(l, 1, 1))).otherwise(l)
+    again = F.explode(F.when(k % 31 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return df.select(F.when(k % 29 == 0, F.concat(F.lit("X"), F.col("source1_entity_id"))).otherwise(F.col("source1_entity_id")).alias("source1_entity_id"), F.array_join(m, ",").alias(name), again.alias("_a")).drop("_a")
+
+
+@query(fx.sql(fx.SCORED_PAIRS, SETS_SQL, FAULTS_SQL, body="""SELECT count(*) AS n_rows, count(*) - count(DISTINCT source1_entity_id) AS repeated_s1, count(*) FILTER (NOT regexp_full_match(source1_entity_id, 'S1-[0-9]+')) AS bad_s1, count(*) FILTER (m IS NULL OR c IS NULL) AS unpaired,
+count(*) FILTER (len(list_distinct(m)) < len(m)) AS repeated_t, count(*) FILTER (len(list_filter(m, lambda x: NOT regexp_full_match(x, 'S[23]-[0-9]+'))) > 0) AS bad_t, count(*) FILTER (len(list_filter(m, lambda x: NOT list_contains(c, x))) > 0) AS not_candidates,
+sum(len(m))::BIGINT AS n_matches, sum(len(c))::BIGINT AS n_candidates, max(len(m))::BIGINT AS most_matches FROM au"""))
 def a14_audit(spark, sf_dir):
-    """Structural checks of matches against candidates."""
+    """Structural checks of matches against candidates, on outputs with faults of every kind."""
     s1, pairs = _sets(spark, sf_dir)
-    return files.audit(files.set_output(s1, decide.exclusive(pairs), "p", "matched_entity_ids"), files.set_output(s1, pairs, "p", "candidate_entity_ids"))
+    m, c = files.set_output(s1, decide.exclusive(pairs), "p", "matched_entity_ids"), files.set_output(s1, pairs, "p", "candidate_entity_ids")
+    return files.audit(_faulty(m, "matched_entity_ids", False), _faulty(c, "candidate_entity_ids", True))
 
 
 @query(fx.sql(fx.SCORED_PAIRS, SETS_SQL, "x AS (SELECT 'S1-' || s1 AS source1_entity_id, list_sort(list_distinct(list('S2-' || t))) AS m FROM ranked WHERE rt = 1 AND p2 >= 0.5 GROUP BY s1)",
@@ -205,17 +219,57 @@ def c24_legal_forms(spark, sf_dir):
     return fx.table(spark, sf_dir, "documents").select("doc_id", text.has_indic(F.col("text")).alias("indic"), text.legal_forms(F.col("text")).alias("lf"))
 
 
-@query()
+WRITTEN = sql_map(text.WRITTEN)
+BY_RULE = f"""list_aggregate(list_transform(string_split(regexp_replace(regexp_replace(translate(@, '{text.BLOCKS}', '{text.DEVANAGARI}'), '({text.CONSONANT_CLASS})([^{text.SIGNS}])', '\\1a\\2', 'g'), '({text.CONSONANT_CLASS})([^a{text.SIGNS}])', '\\1a\\2', 'g'), ''),
+  lambda c: coalesce({WRITTEN}[c], CASE WHEN ascii(c) < 128 THEN c ELSE '' END)), 'string_agg', '')"""
+ROMAN_SQL = f"""nw AS (SELECT id, unnest(regexp_split_to_array(trim(name), '\\s+')) AS w, unnest(range(len(regexp_split_to_array(trim(name), '\\s+')))) AS pos FROM native WHERE regexp_matches(name, '{text.INDIC}')),
+nl AS (SELECT id, string_agg(CASE WHEN regexp_matches(w, '{text.INDIC}') THEN coalesce(latin, {BY_RULE.replace('@', 'w')}) ELSE w END, ' ' ORDER BY pos) AS x, count(*) FILTER (regexp_matches(w, '{text.INDIC}') AND latin IS NULL) AS oov FROM nw LEFT JOIN words ON word = w GROUP BY id),
+np AS (SELECT id, trim(trim(unnest(string_split(address, ','))), '"') AS w, unnest(range(len(string_split(address, ',')))) AS pos FROM native WHERE regexp_matches(address, '{text.INDIC}')),
+al AS (SELECT id, string_agg(coalesce(latin, w), ', ' ORDER BY pos) AS y FROM np LEFT JOIN parts ON word = w GROUP BY id),
+roman AS (SELECT id, source, country, coalesce(x, name) AS name, coalesce(y, address) AS address, coalesce(oov, 0) AS oov FROM native LEFT JOIN nl USING (id) LEFT JOIN al USING (id))"""
+
+
+@query(fx.sql(fx.NATIVE_SQL, ROMAN_SQL, body="SELECT id, name AS name_latin, address AS address_latin, oov FROM roman"))
+def c2_romanised(spark, sf_dir):
+    """Names and addresses of native scripts by dictionary and by rule, over literal records: the tables have none."""
+    return text.romanised(*fx.native_records(spark)).select("id", "name_latin", "address_latin", "oov")
+
+
+@query(fx.sql(fx.NATIVE_SQL, ROMAN_SQL, prepared_sql("roman"), body='SELECT id, array_to_string(nt, \' \') AS nt, array_to_string("at", \' \') AS "at", array_to_string(acore, \' \') AS acore, ncomp, oov FROM prepared'))
+def c3_native_forms(spark, sf_dir):
+    """C2, C3, C11 in the token views that blocking and features read, over literal records."""
+    rec, words, parts = fx.native_records(spark)
+    return text.prepared(rec, names=words, components=parts).select("id", "nt", "at", "acore", "ncomp", "oov")
+
+
+VOTES_SQL = "vo AS (SELECT word, latin, count(*) AS votes FROM al GROUP BY ALL), vr AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY votes DESC, latin) AS k FROM vo)"
+
+
+@query(fx.sql(*DOCS, fx.DOC_TRUTH, """al AS (SELECT unnest(b.nt) AS word, unnest(a.nt) AS latin FROM doc_truth JOIN prepared a ON a.id = s1 JOIN prepared b ON b.id = t WHERE len(a.nt) = len(b.nt))""", VOTES_SQL, body="SELECT word, latin, votes FROM vr WHERE k = 1"))
 def c20_learned_dictionary(spark, sf_dir):
-    """Words of native names voted to the words they are paired with, and rule transliteration as the fallback."""
+    """C20: words of targets' names voted to the words they are paired with, over all names."""
     from ..plans.dictionary import learn_words
 
-    rec = text.prepared(fx.doc_records(spark, sf_dir)).select("id", F.col("nt").alias("w"))
+    rec = storage.written(text.prepared(fx.doc_records(spark, sf_dir)).select("id", F.col("nt").alias("w")))
     truth = fx.doc_truth(fx.doc_records(spark, sf_dir))
     pairs = truth.join(rec.select(F.col("id").alias("s1"), F.col("w").alias("latin")), "s1").join(rec.select(F.col("id").alias("t"), F.col("w").alias("native")), "t")
     return learn_words(pairs, native_only=False)
 
 
+@query(fx.sql(fx.NATIVE_SQL, f"""tp AS (SELECT a.address AS l, b.address AS n FROM native a JOIN native b ON a.source = 1 AND b.source = 2 AND a.id % 10000000000 = b.id % 10000000000),
+al0 AS (SELECT unnest(list_transform(string_split(n, ','), lambda x: trim(trim(x), '"'))) AS word, list_transform(string_split(l, ','), lambda x: lower(trim(x))) AS ls FROM tp),
+al1 AS (SELECT word, unnest(ls) AS latin FROM al0), al AS (SELECT * FROM al1 WHERE regexp_matches(word, '{text.INDIC}') AND NOT regexp_matches(latin, '{text.INDIC}'))""", VOTES_SQL, body="SELECT word, latin, votes FROM vr WHERE k = 1"))
+def c21_learned_components(spark, sf_dir):
+    """Native parts of addresses voted to the parts of the paired addresses, over literal records."""
+    from ..plans.dictionary import learn_components
+
+    rec, _, _ = fx.native_records(spark)
+    parts = lambda f: F.transform(F.split("address", ","), lambda c: f(F.regexp_replace(F.trim(c), '^"+|"+$', "")))
+    a = rec.where("source = 1").select((F.col("id") % 10_000_000_000).alias("k"), parts(F.lower).alias("latin"))
+    b = rec.where("source = 2").select((F.col("id") % 10_000_000_000).alias("k"), parts(lambda c: c).alias("native"))
+    return learn_components(a.join(b, "k"))
+
+
 @query(fx.sql(fx.DOC_RECORDS, body="SELECT id, 'name: ' || name || ' ; address: ' || CASE WHEN trim(coalesce(address, '')) = '' THEN '[none]' ELSE address END AS line FROM doc_records"))
 def c27_serialised(spark, sf_dir):
     """Records as lines for a pair scorer."""
@@ -230,7 +284,11 @@ def c22_extended_profile(spark, sf_dir):
     return text.prepared(rec.where("country = 'fr'"), text.EXTENDED).select(*cols).unionByName(text.prepared(rec.where("country <> 'fr' OR country IS NULL")).select(*cols))
 
 
-@query()
+FOLDED = "lower(regexp_replace(strip_accents(nfc_normalize(coalesce(text, ''))), '[^\\x00-\\x7F]', '', 'g'))"
+
+
+@query(fx.sql(f"seg AS (SELECT doc_id, list_filter(string_split(regexp_replace({FOLDED}, '[^a-z0-9 ,]', ' ', 'g'), ','), lambda x: regexp_matches(x, '[0-9]'))[1] AS seg FROM documents)",
+    body=f"SELECT doc_id, coalesce(array_to_string(list_filter(regexp_split_to_array(trim(seg), ' +'), lambda w: length(w) >= 3 AND w NOT IN {among(vocab.STREET_STOP)} AND NOT regexp_full_match(w, '[0-9]+[0-9a-z_]*')), ' '), '') AS words FROM seg"))
 def c26_street_words(spark, sf_dir):
     """Street words of addresses."""
     return fx.table(spark, sf_dir, "documents").select("doc_id", text.street_words(F.col("text")).alias("words"))
@@ -265,7 +323,7 @@ topk AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY t) AS t_ns1, max(bsc
 
 
 def _view(spark, sf_dir, records=fx.doc_records):
-    return blocking.base_view(text.prepared(records(spark, sf_dir)))
+    return storage.written(blocking.base_view(text.prepared(records(spark, sf_dir))))
 
 
 @query(fx.sql(*DOCS, BASE_SQL, body="SELECT country, kind, t, df FROM dfs"))
@@ -278,44 +336,72 @@ def d2_token_df(spark, sf_dir):
 def d3_rarest_tokens(spark, sf_dir):
     """D3: the rarest tokens of each record."""
     v = _view(spark, sf_dir)
-    dfs = blocking.token_df(v.where("source > 1"))
-    return blocking.rarest_tokens(v.where("source = 1"), dfs, "s1").unionByName(blocking.rarest_tokens(v.where("source > 1"), dfs, "t"))
+    rare = blocking.rarest_tokens(v, blocking.token_df(v.where("source > 1")))
+    kind = lambda k: F.transform(k, lambda t: F.struct(F.lit(k).alias("kind"), t.alias("t")))
+    return rare.select("id", "country", F.inline(F.concat(*map(kind, "nah"))))
 
 
 @query(fx.sql(*DOCS, BASE_SQL, RARE_SQL, KEYS_SQL, body="SELECT id, country, k, ty::BIGINT AS ty FROM keys"))
 def d4_keys(spark, sf_dir):
     """Compound keys of each record."""
     v = _view(spark, sf_dir)
-    dfs = blocking.token_df(v.where("source > 1"))
-    return blocking.keys(v.where("source = 1"), dfs, "s1").unionByName(blocking.keys(v.where("source > 1"), dfs, "t"))
+    return blocking.keys(v, blocking.token_df(v.where("source > 1"))).select("id", "country", "k", "ty")
 
 
 @query(fx.sql(*DOCS, BASE_SQL, RARE_SQL, KEYS_SQL, PAIRS_SQL, body=f"SELECT s1, t, nkeys, brank, npool, t_ns1, t_rank, {', '.join(f'{r(c)} AS {c}' for c in ['bscore', 'wmax', 'brel', 't_best', *[f'w{i}' for i in range(8)]])} FROM topk"))
 def d14_block(spark, sf_dir):
-    """D13 to D15, D17 to D19 by raw bscore: capped, weighted keys joined to candidate pairs, ranked, cut to the best 30, and their competition. No ranker (D16, D21) is trained or scores the pool."""
-    return blocking.block(text.prepared(fx.doc_records(spark, sf_dir)))
+    """Capped, weighted keys joined to candidate pairs, ranked by rarity, cut to the best 30, and their competition."""
+    cols = ["s1", "t", "nkeys", "brank", "npool", "t_ns1", "t_rank", "bscore", "wmax", "brel", "t_best", *[f"w{i}" for i in range(8)]]
+    return blocking.block(text.prepared(fx.doc_records(spark, sf_dir))).select(*cols)
+
+
+RS = "bscore / nkeys + 0.5 * noaddr + 0.1 * w3 - 0.01 * brank + brel"
+RANKER_SQL = f"""rs0 AS (SELECT r.*, b.noaddr::INT AS noaddr FROM ranked r JOIN base b ON b.id = r.t), rs1 AS (SELECT *, {RS} AS rs FROM rs0),
+rs2 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY round(rs, 9) DESC, t) AS rrank FROM rs1),
+cut AS (SELECT s1, t, noaddr, rs, rrank, count(*) OVER (PARTITION BY t) AS t_ns1, max(rs) OVER (PARTITION BY t) AS t_best, row_number() OVER (PARTITION BY t ORDER BY round(rs, 9) DESC, s1) AS t_rank,
+  max(bscore) OVER (PARTITION BY t) AS t_bbest, row_number() OVER (PARTITION BY t ORDER BY round(bscore, 9) DESC, s1) AS t_brank FROM rs2 WHERE rrank <= 5)"""
+
+
+@query(fx.sql(*PARTS, BASE_SQL, RARE_SQL, KEYS_SQL, PAIRS_SQL, RANKER_SQL, body=f"SELECT s1, t, noaddr, rrank, t_ns1, t_rank, t_brank, {r('rs')} AS rs, {r('t_best')} AS t_best, {r('t_bbest')} AS t_bbest FROM cut"))
+def d16_ranked_block(spark, sf_dir):
+    """A pool scored by a ranker (a fixed formula here, so that SQL can follow), cut by its rank, and both competitions."""
+    out = blocking.block(text.prepared(fx.part_records(spark, sf_dir)), k=5, ranker=lambda pool: pool.withColumn("rs", F.expr(RS)))
+    return out.select("s1", "t", "noaddr", "rrank", "t_ns1", "t_rank", "t_brank", "rs", "t_best", "t_bbest")
 
 
 @query(fx.sql(*PARTS, BASE_SQL, RARE_SQL, KEYS_SQL, PAIRS_SQL, body=f"SELECT s1, t, {r('bscore')} AS bscore, brank, npool FROM ranked WHERE {fx.h_sql(99, 's1')} % 100 < 5"))
 def d20_raw_pool(spark, sf_dir):
-    """The uncut pool of a 5 % sample of queries, as a ranker would be trained on; none is."""
-    v = _view(spark, sf_dir, fx.part_records)
-    t = v.where("source > 1")
-    dfs = blocking.token_df(t)
-    kt = blocking.keys(t, dfs, "t")
-    q = v.where("source = 1").where(ids.sample_hash(F.col("id"), 99) % 100 < 5)
-    return blocking.ranked(blocking.candidate_pairs(blocking.keys(q, dfs, "s1"), kt, blocking.weighted_keys(kt, t.count()))).select("s1", "t", "bscore", "brank", "npool")
+    """The uncut pool of a 5 % sample of queries, which a ranker is trained on."""
+    return blocking.raw_pool(text.prepared(fx.part_records(spark, sf_dir)), ids.sample_hash(F.col("id"), 99) % 100 < 5).select("s1", "t", "bscore", "brank", "npool")
+
+
+@query()
+def d21_ranker(spark, sf_dir):
+    """Trees trained on the sample's pool, and the candidates they keep."""
+    from ..plans import ranker
+
+    rec = fx.part_records(spark, sf_dir)
+    p = storage.written(text.prepared(rec))
+    model = ranker.fit_ranker(storage.written(ranker.training_pool(p, fx.part_truth(rec), 500)), rounds=5, depth=4)
+    return blocking.block(p, ranker=ranker.ranker(model)).select("s1", "t", "rs", "rrank", "t_rank", "t_brank")
+
+
+@query(fx.sql(*[x.replace("part_records)", "kept_records)") if x.startswith("p1 AS") else x for x in (fx.PART_RECORDS, f"kept_records AS (SELECT * FROM part_records WHERE source > 1 OR {fx.h_sql(2024, 'id')} % 1000 < 814)", prepared_sql("kept_records"))], BASE_SQL, RARE_SQL, KEYS_SQL, PAIRS_SQL, body="SELECT s1, t, brank, t_ns1, t_rank FROM topk"))
+def d22_kept_queries(spark, sf_dir):
+    """Blocking of the queries of a keep list."""
+    rec = fx.part_records(spark, sf_dir)
+    keep = rec.where("source = 1").where(ids.kept(F.col("id"))).select("id")
+    return blocking.block(text.prepared(rec), keep=keep).select("s1", "t", "brank", "t_ns1", "t_rank")
 
 
 HN_SQL = "hn AS (SELECT *, list_filter(acore, lambda t: regexp_full_match(t, '[0-9]+'))[1] AS hn, list_distinct(list_filter(acore, lambda t: NOT regexp_full_match(t, '[0-9]+'))) AS w FROM base)"
 
 
 @query(fx.sql(*PARTS, BASE_SQL, HN_SQL, """x AS (SELECT id, source, country, hn, unnest(w) AS w FROM hn WHERE hn IS NOT NULL),
-few AS (SELECT country, hn, w FROM x WHERE source > 1 GROUP BY ALL HAVING count(*) <= 15)""", body="SELECT a.id AS s1, b.id AS t, count(*) AS n_shared FROM x a JOIN x b ON a.source = 1 AND b.source > 1 AND a.country = b.country AND a.hn = b.hn AND a.w = b.w JOIN few ON few.country = a.country AND few.hn = a.hn AND few.w = a.w GROUP BY a.id, b.id"))
+few AS (SELECT country, hn, w FROM x WHERE source > 1 GROUP BY ALL HAVING count(*) <= 15)""", RARE_SQL, KEYS_SQL, PAIRS_SQL, body="SELECT a.id AS s1, b.id AS t, count(*) AS n_shared FROM x a JOIN x b ON a.source = 1 AND b.source > 1 AND a.country = b.country AND a.hn = b.hn AND a.w = b.w JOIN few ON few.country = a.country AND few.hn = a.hn AND few.w = a.w WHERE (a.id, b.id) NOT IN (SELECT (s1, t) FROM topk WHERE brank <= 3) GROUP BY a.id, b.id"))
 def d25_rare_address(spark, sf_dir):
-    """Pairs of equal country and number that share a rare address word."""
-    v = _view(spark, sf_dir, fx.part_records)
-    return blocking.rare_address_pairs(v, spark.createDataFrame([], "s1 long, t long"))
+    """Pairs of equal country and number that share a rare address word and aren't among the first three candidates."""
+    return blocking.rare_address_pairs(_view(spark, sf_dir, fx.part_records), part_pairs(spark, sf_dir).where("brank <= 3"))
 
 
 @query(fx.sql(*PARTS, BASE_SQL, HN_SQL, body=f"""SELECT a.id AS s1, b.id AS t, {r('len(list_intersect(a.w, b.w)) / greatest(len(a.w), 1)')} AS overlap FROM hn a JOIN hn b ON a.source = 1 AND b.source > 1 AND a.country = b.country AND a.hn = b.hn
@@ -350,16 +436,16 @@ def e5_idf(spark, sf_dir):
 
 # --- F: pair features --------------------------------------------------------------------------------------------------------
 
-PAIR_SQL = "pp AS MATERIALIZED (SELECT a.id AS s1, b.id AS t FROM view_ a JOIN view_ b ON a.source = 1 AND b.source > 1 AND a.country = b.country AND a.acore[-1] = b.acore[-1])"
+PAIR_SQL = ",\n".join([BASE_SQL, RARE_SQL, KEYS_SQL, PAIRS_SQL, "pp AS MATERIALIZED (SELECT s1, t FROM topk)"])
+
+
+def part_pairs(spark, sf_dir):
+    """Candidate pairs of the part records: keys are capped, and each query has 30 at most."""
+    return blocking.block(text.prepared(fx.part_records(spark, sf_dir)))
 
 
 def _pairs(spark, sf_dir):
-    """Parts of equal type and brand."""
-    v = attrs.record_view(text.prepared(fx.part_records(spark, sf_dir)))
-    last = F.try_element_at("acore", F.lit(-1))
-    a = v.where("source = 1").select(F.col("id").alias("s1"), "country", last.alias("b"))
-    b = v.where("source > 1").select(F.col("id").alias("t"), "country", last.alias("b"))
-    return a.join(b, ["country", "b"]).select("s1", "t"), v
+    return part_pairs(spark, sf_dir).select("s1", "t"), storage.written(attrs.record_view(text.prepared(fx.part_records(spark, sf_dir))))
 
 
 @query()
@@ -370,12 +456,22 @@ def f1_string_scores(spark, sf_dir):
     return p.select("s1", "t", *[c for c in p.columns if c.rsplit("_", 1)[-1] in ("ratio", "tset", "tsort", "part", "jw", "best")])
 
 
-@query("SELECT a.n_name AS a, b.n_name AS b, (round(jaro_winkler_similarity(a.n_name, b.n_name) + 1e-12, 9) + 0.0) AS jw, levenshtein(a.n_name, b.n_name) AS lev FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")
+@query(fx.sql(*PARTS, VIEW_SQL, PAIR_SQL, body=f"SELECT s1, t, {r('jaro_winkler_similarity(a.cs, b.cs)')} AS cs_jw, {r('jaro_winkler_similarity(a.cc, b.cc)')} AS cc_jw, levenshtein(a.cs, b.cs) AS lev FROM pp JOIN view_ a ON a.id = s1 JOIN view_ b ON b.id = t"))
 def f5_jaro_winkler(spark, sf_dir):
-    """Jaro-Winkler similarity of nations' names within a region."""
-    n = fx.table(spark, sf_dir, "nation").select("n_name", "n_regionkey")
-    p = n.withColumnRenamed("n_name", "a").join(n.withColumnRenamed("n_name", "b"), "n_regionkey")
-    return p.select("a", "b", strings.udf(strings.jaro_winkler)(F.col("a"), F.col("b")).alias("jw"), F.levenshtein("a", "b").alias("lev"))
+    """Jaro-Winkler similarities of candidate pairs' core names."""
+    pairs, v = _pairs(spark, sf_dir)
+    p = features.with_records(pairs, v)
+    two = strings.scores({f"{c}_jw": ("jw", F.col(f"{c}_1"), F.col(f"{c}_2")) for c in ("cs", "cc")})
+    return p.select("s1", "t", two.alias("x"), F.levenshtein("cs_1", "cs_2").alias("lev")).select("s1", "t", "x.cs_jw", "x.cc_jw", "lev")
+
+
+@query("""WITH b AS (SELECT item_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS b, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM benchmark),
+d AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')) || ' ' AS d FROM documents)
+SELECT doc_id, item_id FROM d JOIN b ON contains(d, ' ' || b || ' ') WHERE len(w) >= 8""")
+def f6_contamination(spark, sf_dir):
+    """benchmark passages of eight words or more that stand whole in a document."""
+    b, d = fx.table(spark, sf_dir, "benchmark"), fx.table(spark, sf_dir, "documents")
+    return features.contained_passages(d, b)
 
 
 @query(fx.sql(*PARTS, VIEW_SQL, PAIR_SQL, body="""SELECT s1, t, (length(a.cc) > 3 AND contains(b.nc, a.cc))::BIGINT AS cc_in_t, (a.cc = b.cc)::BIGINT AS cc_eq, coalesce((a.core[1] = b.core[1])::BIGINT, 0) AS first_eq,
@@ -388,42 +484,56 @@ def f6_containment_flags(spark, sf_dir):
     return p.select("s1", "t", "cc_in_t", "cc_eq", "first_eq", "has_alias", "is_s3", "len_ns1", "len_ns2", "len_as2", "same_country", "dom_2", "aempty_2")
 
 
-@query(fx.sql(*PARTS, VIEW_SQL, PAIR_SQL, """nn AS (SELECT count(*) AS n FROM view_ WHERE source > 1), idf AS (SELECT w, ln(any_value(n) / count(*)) AS x FROM (SELECT unnest(list_distinct(nt)) AS w FROM view_ WHERE source > 1), nn GROUP BY w),
-q AS (SELECT s1, t, list_distinct(a.core) AS A, list_distinct(b.core) AS B FROM pp JOIN view_ a ON a.id = s1 JOIN view_ b ON b.id = t),
-e AS (SELECT s1, t, A, B, unnest(list_distinct(list_concat(A, B))) AS w FROM q),
-m AS (SELECT s1, t, e.w, list_contains(A, e.w) AS ia, list_contains(B, e.w) AS ib, coalesce(x, ln(n)) AS x, NOT list_contains(B, e.w) AND len(list_filter(B, lambda o: NOT list_contains(A, o) AND least(length(o), length(e.w)) >= 4 AND levenshtein(o, e.w) <= 1)) > 0 AS near FROM e LEFT JOIN idf USING (w), nn),
-g AS (SELECT s1, t, count(*) FILTER (ia AND ib) AS ninter, count(*) FILTER (ia) AS na, count(*) FILTER (ib) AS nb, count(*) AS nu, coalesce(sum(x) FILTER (ia), 0) AS wa, coalesce(sum(x) FILTER (ib), 0) AS wb, coalesce(sum(x) FILTER (ia AND ib), 0) AS wi,
-  coalesce(sum(x) FILTER (ia AND near), 0) AS fa, count(*) FILTER (ia AND near) AS nf, max(x) FILTER (ib AND NOT ia) AS mx FROM m GROUP BY s1, t)""",
-    body=f"SELECT s1, t, {r('coalesce(ninter / greatest(nu, 1), 0)')} AS core_jac, {r('coalesce(ninter, 0)::DOUBLE')} AS core_ninter, {r('coalesce(wi / greatest(wa, 1e-9), 0)')} AS core_covA, {r('coalesce(wi / greatest(wb, 1e-9), 0)')} AS core_covB, {r('coalesce(greatest(wa - wi - fa, 0), 0)')} AS core_unA, {r('coalesce(greatest(wb - wi - fa, 0), 0)')} AS core_unB, {r('coalesce(nf, 0)::DOUBLE')} AS core_nfuzzy, {r('coalesce(mx, 0)')} AS core_maxunB FROM q LEFT JOIN g USING (s1, t)"))
+F7_SETS = {"core": ("a.core", "b.core", "wn"), "nt": ("a.nt", "b.nt", "wn"), "addr": ("list_filter(a.acore, lambda t: NOT regexp_full_match(t, '[0-9]+'))", "list_filter(b.acore, lambda t: NOT regexp_full_match(t, '[0-9]+'))", "wa")}
+IDF_SQL = """nn AS (SELECT count(*) AS n FROM view_ WHERE source > 1), wn AS MATERIALIZED (SELECT w, ln(any_value(n) / count(*)) AS x FROM (SELECT unnest(list_distinct(nt)) AS w FROM view_ WHERE source > 1), nn GROUP BY w),
+wa AS MATERIALIZED (SELECT w, ln(any_value(n) / count(*)) AS x FROM (SELECT unnest(list_distinct("at")) AS w FROM view_ WHERE source > 1), nn GROUP BY w)"""
+F7_COLS = ("jac", "ninter", "nA", "nB", "covA", "covB", "unA", "unB", "nfuzzy", "maxunB")
+
+
+def _f7_sql(k: str) -> str:
+    a, b, w = F7_SETS[k]
+    return f"""{k}_q AS MATERIALIZED (SELECT s1, t, list_distinct({a}) AS A, list_distinct({b}) AS B FROM pp JOIN view_ a ON a.id = s1 JOIN view_ b ON b.id = t),
+{k}_e AS (SELECT s1, t, A, B, unnest(list_distinct(list_concat(A, B))) AS w FROM {k}_q),
+{k}_m AS (SELECT s1, t, e.w, list_contains(A, e.w) AS ia, list_contains(B, e.w) AS ib, coalesce(x, ln(n)) AS x, NOT list_contains(B, e.w) AND len(list_filter(B, lambda o: NOT list_contains(A, o) AND jaro_winkler_similarity(o, e.w) >= 0.88)) > 0 AS near FROM {k}_e e LEFT JOIN {w} USING (w), nn),
+{k}_g AS (SELECT s1, t, count(*) FILTER (ia AND ib) AS ninter, count(*) FILTER (ia) AS na, count(*) FILTER (ib) AS nb, count(*) AS nu, coalesce(sum(x) FILTER (ia), 0) AS wa, coalesce(sum(x) FILTER (ib), 0) AS wb, coalesce(sum(x) FILTER (ia AND ib), 0) AS wi,
+  coalesce(sum(x) FILTER (ia AND near), 0) AS fa, count(*) FILTER (ia AND near) AS nf, max(x) FILTER (ib AND NOT ia) AS mx FROM {k}_m GROUP BY s1, t),
+{k}_f AS (SELECT s1, t, {r('coalesce(ninter / greatest(nu, 1), 0)')} AS {k}_jac, {r('coalesce(ninter, 0)::DOUBLE')} AS {k}_ninter, {r('coalesce(na, 0)::DOUBLE')} AS {k}_nA, {r('coalesce(nb, 0)::DOUBLE')} AS {k}_nB, {r('coalesce(wi / greatest(wa, 1e-9), 0)')} AS {k}_covA, {r('coalesce(wi / greatest(wb, 1e-9), 0)')} AS {k}_covB,
+  {r('coalesce(greatest(wa - wi - fa, 0), 0)')} AS {k}_unA, {r('coalesce(greatest(wb - wi - fa, 0), 0)')} AS {k}_unB, {r('coalesce(nf, 0)::DOUBLE')} AS {k}_nfuzzy, {r('coalesce(mx, 0)')} AS {k}_maxunB FROM {k}_q LEFT JOIN {k}_g USING (s1, t))"""
+
+
+@query(fx.sql(*PARTS, VIEW_SQL, PAIR_SQL, IDF_SQL, *map(_f7_sql, F7_SETS), body=f"SELECT s1, t, {', '.join(f'{k}_{c}' for k in F7_SETS for c in F7_COLS)} FROM core_f JOIN nt_f USING (s1, t) JOIN addr_f USING (s1, t)"))
 def f7_set_features(spark, sf_dir):
-    """weighted overlap of core name tokens."""
+    """Weighted overlap of core name words, of all name words and of address words, leftovers aligned by Jaro-Winkler."""
     pairs, v = _pairs(spark, sf_dir)
-    n = v.where("source > 1").count()
-    p = features.set_features(features.with_records(pairs, v), attrs.idf(v, "nt"), "core_1", "core_2", "core", n)
-    return p.select("s1", "t", *[f"core_{k}" for k in ("jac", "ninter", "covA", "covB", "unA", "unB", "nfuzzy", "maxunB")])
+    p = features.with_records(pairs, attrs.weighed(v, v.where("source > 1").count()))
+    words = lambda c: F.filter(c, lambda x: ~x.rlike("^[0-9]+$"))
+    return features.set_features(p.withColumns({"aw_1": words("acore_1"), "aw_2": words("acore_2")})).select("s1", "t", *[f"{k}_{c}" for k in F7_SETS for c in F7_COLS])
 
 
 REL_SQL = """CASE WHEN x = y THEN 0 WHEN length(y) < length(x) AND suffix(x, y) THEN 1 WHEN length(y) < length(x) AND prefix(x, y) THEN 2 WHEN length(y) > length(x) AND suffix(y, x) THEN 3 WHEN length(y) > length(x) AND prefix(y, x) THEN 4
  WHEN length(x) = length(y) AND hamming(x, y) = 1 THEN CASE WHEN d < 10 THEN 5 ELSE 6 END WHEN d <= 20 THEN 7 ELSE 8 END"""
 
 
-@query(fx.sql(fx.PARTY_RECORDS, f"""v AS (SELECT id, source, country, coalesce(nullif(ltrim(name[-9:], '0'), ''), '0') AS h FROM party_records),
-q AS (SELECT a.id AS s1, b.id AS t, a.h AS x, b.h AS y, abs(a.h::BIGINT - b.h::BIGINT) AS d FROM v a JOIN v b ON a.source = 1 AND b.source = 2 AND a.country = b.country)""",
+@query(fx.sql(fx.PARTY_RECORDS, f"""v AS (SELECT id, source, coalesce(nullif(ltrim(name[-9:], '0'), ''), '0') AS h FROM party_records),
+pp AS (SELECT DISTINCT {ids.BASE} + o_custkey AS s1, {2 * ids.BASE} + l_suppkey AS t FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+q AS (SELECT s1, t, a.h AS x, b.h AS y, abs(a.h::BIGINT - b.h::BIGINT) AS d FROM pp JOIN v a ON a.id = s1 JOIN v b ON b.id = t)""",
     body=f"SELECT s1, t, CASE WHEN length(x) = length(y) THEN ({REL_SQL}) ELSE ({REL_SQL.replace('hamming(x, y)', '9')}) END::BIGINT AS hn_rel, {r('ln(1 + d)')} AS hn_logd FROM q"))
 def f9_number_relations(spark, sf_dir):
-    """How customers' and suppliers' numbers of a nation relate."""
-    v = fx.party_records(spark, sf_dir).select("id", "source", "country", F.array(F.coalesce(F.nullif(F.ltrim(F.substring("name", -9, 9), F.lit("0")), F.lit("")), F.lit("0"))).alias("nums"))
-    a = v.where("source = 1").select(F.col("id").alias("s1"), "country", F.col("nums").alias("nums_1"))
-    b = v.where("source = 2").select(F.col("id").alias("t"), "country", F.col("nums").alias("nums_2"))
-    return features.number_features(a.join(b, "country")).select("s1", "t", F.col("hn_rel").cast("long").alias("hn_rel"), "hn_logd")
+    """How the numbers of customers and of the suppliers they ordered from relate."""
+    number = F.array(F.coalesce(F.nullif(F.ltrim(F.substring("name", -9, 9), F.lit("0")), F.lit("")), F.lit("0")))
+    v = fx.party_records(spark, sf_dir).select("id", number.alias("nums"))
+    o, li = fx.table(spark, sf_dir, "orders"), fx.table(spark, sf_dir, "lineitem")
+    pairs = o.join(li, o["o_orderkey"] == li["l_orderkey"]).select((F.lit(ids.BASE) + F.col("o_custkey")).alias("s1"), (F.lit(2 * ids.BASE) + F.col("l_suppkey")).alias("t")).distinct()
+    p = pairs.join(v.select(F.col("id").alias("s1"), F.col("nums").alias("nums_1")), "s1").join(v.select(F.col("id").alias("t"), F.col("nums").alias("nums_2")), "t")
+    return features.number_features(p).select("s1", "t", F.col("hn_rel").cast("long").alias("hn_rel"), "hn_logd")
 
 
 @query(fx.sql(*PARTS, VIEW_SQL, PAIR_SQL, "q AS (SELECT s1, t, a.nums AS A, b.nums AS B, len(a.nums) AS na, len(b.nums) AS nb FROM pp JOIN view_ a ON a.id = s1 JOIN view_ b ON b.id = t)",
-    body="SELECT s1, t, " + ", ".join(f"(CASE WHEN na < 1 OR nb < 1 THEN -1.0 ELSE {v} END)::DOUBLE AS {k}" for k, v in {"hn_eq": "(A[1] = B[1])::INT", "hn_any": "list_contains(B, A[1])::INT", "hn_sub": "(contains(B[1], A[1]) OR contains(A[1], B[1]))::INT", "num_last_eq": "(A[-1] = B[-1])::INT", "t_hn_in_s1": "list_contains(A, B[1])::INT", "nums_unB": "len(list_filter(list_distinct(B), lambda e: NOT list_contains(A, e)))", "nums_unA": "len(list_filter(list_distinct(A), lambda e: NOT list_contains(B, e)))"}.items()) + ", na AS n_nums1, nb AS n_nums2 FROM q"))
+    body="SELECT s1, t, " + ", ".join(f"(CASE WHEN na < 1 OR nb < 1 THEN -1.0 ELSE {v} END)::DOUBLE AS {k}" for k, v in {"hn_eq": "(A[1] = B[1])::INT", "hn_any": "list_contains(B, A[1])::INT", "hn_sub": "(contains(B[1], A[1]) OR contains(A[1], B[1]))::INT", "num_last_eq": "(A[-1] = B[-1])::INT", "num_jac": "len(list_intersect(A, B)) / len(list_distinct(list_concat(A, B)))", "t_hn_in_s1": "list_contains(A, B[1])::INT", "nums_unB": "len(list_filter(list_distinct(B), lambda e: NOT list_contains(A, e)))", "nums_unA": "len(list_filter(list_distinct(A), lambda e: NOT list_contains(B, e)))"}.items()) + ", na AS n_nums1, nb AS n_nums2 FROM q"))
 def f8_number_features(spark, sf_dir):
     """Numbers of both sides."""
     pairs, v = _pairs(spark, sf_dir)
-    return features.number_features(features.with_records(pairs, v)).select("s1", "t", "hn_eq", "hn_any", "hn_sub", "num_last_eq", "t_hn_in_s1", "nums_unB", "nums_unA", "n_nums1", "n_nums2")
+    return features.number_features(features.with_records(pairs, v)).select("s1", "t", "hn_eq", "hn_any", "hn_sub", "num_last_eq", "num_jac", "t_hn_in_s1", "nums_unB", "nums_unA", "n_nums1", "n_nums2")
 
 
 @query(fx.sql(*PARTS, VIEW_SQL, PAIR_SQL, "q AS (SELECT s1, t, list_filter(list_distinct(a.nt), lambda e: NOT list_contains(b.nt, e)) AS ra, list_filter(list_distinct(b.nt), lambda e: NOT list_contains(a.nt, e)) AS rb FROM pp JOIN view_ a ON a.id = s1 JOIN view_ b ON b.id = t)",

@@ -41,7 +41,7 @@ def read_parts(spark: SparkSession, *paths: str) -> DataFrame:
 
 def set_output(everyone: DataFrame, links: DataFrame, score: str, name: str) -> DataFrame:
     """One row (source1_entity_id, name) for each s1 of everyone: its t by score, joined by commas, "" if none."""
-    sets = links.groupBy("s1").agg(F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("k"), "t"))).alias("x"))
+    sets = links.groupBy("s1").agg(F.sort_array(F.collect_list(F.struct((-F.col(score)).alias("k"), "t"))).alias("x"))
     joined = everyone.select("s1").join(sets, "s1", "left")
     return joined.select(ids.decode(F.col("s1")).alias("source1_entity_id"), F.coalesce(F.array_join(F.transform("x", lambda p: ids.decode(p["t"])), ","), F.lit("")).alias(name))
 

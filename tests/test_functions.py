@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -40,10 +41,16 @@ def test_addresses(spark):
 
 
 def test_scripts_and_forms(spark):
-    assert [text.transliterate(w) for w in ("राम", "कमल", "x1")] == ["raam", "kamal", "x1"]
+    words = spark.createDataFrame([(i, w) for i, w in enumerate(["राम", "कमल", "x1", "कक", "শক্তি", "தமிழ்", "१२ॐ", "कं", "क्x"])], "i int, w string")
+    assert [r[0] for r in words.orderBy("i").select(text.transliterated(F.col("w"))).collect()] == ["raam", "kamal", "x1", "kak", "shakti", "tamil", "12om", "kan", "kx"]
     df = spark.createDataFrame([("Foo S.A.R.L. & Co", "राम Ltd"), (None, None)], "a string, b string")
-    got = df.select(text.legal_forms(F.col("a")).alias("f"), text.latin_name({"राम": "ram"})(F.col("b")).alias("l"), text.has_indic(F.col("b")).alias("i")).collect()
-    assert (got[0].f, got[0].l.latin, got[0].l.oov, got[0].i) == ("co,sarl", "ram Ltd", 0, True) and (got[1].f, got[1].l.latin, got[1].i) == ("", "", False)
+    got = df.select(text.legal_forms(F.col("a")).alias("f"), text.has_indic(F.col("b")).alias("i")).collect()
+    assert (got[0].f, got[0].i) == ("co,sarl", True) and (got[1].f, got[1].i) == ("", False)
+    rec = spark.createDataFrame([(1, " राम  Ltd ", 'a, "मुंबई"'), (2, "Café", "x"), (3, None, "मुंबई"), (4, "कमल राम", None)], "id long, name string, address string")
+    lists = [spark.createDataFrame([r], "word string, latin string") for r in (("राम", "ram"), ("मुंबई", "mumbai"))]
+    known = {r.id: (r.name_latin, r.address_latin, r.oov) for r in text.romanised(rec, *lists).collect()}
+    assert known == {1: ("ram Ltd", "a, mumbai", 0), 2: ("Café", "x", 0), 3: (None, "mumbai", 0), 4: ("kamal ram", None, 1)}
+    assert {r.id: (r.name_latin, r.oov) for r in text.romanised(rec).collect()} == {1: ("raam Ltd", 1), 2: ("Café", 0), 3: (None, 0), 4: ("kamal raam", 2)}
     street = spark.createDataFrame([("Zone A, 12 bis rue de la République, Paris",)], "a string").select(text.street_words(F.col("a"))).first()[0]
     assert street == ["republique"]
     line = spark.createDataFrame([("n", " ")], "n string, a string").select(text.serialised(F.col("n"), F.col("a"))).first()[0]
@@ -173,7 +180,11 @@ def test_context(spark):
 def test_dense(spark):
     rnd = np.random.default_rng(0)
     rows = [(i, 1 if i % 4 == 0 else 2, "ab"[i % 2 if i % 4 else 0], rnd.standard_normal(8).tolist()) for i in range(120)]
-    got = dense.top_k_cosine(spark.createDataFrame(rows, "id long, source int, country string, v array<double>"), 5, 3).collect()
+    df = spark.createDataFrame(rows, "id long, source int, country string, v array<double>")
+    got = dense.top_k_cosine(df, 5).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, dense.top_k_cosine(df, 5, block=7).collect()))  # one block, and many
+    some = dense.top_k_cosine(df, 5, spark.createDataFrame([(0,), (8,)], "id long"), block=7).collect()
+    assert sorted(map(tuple, some)) == sorted(tuple(g) for g in got if g.s1 in (0, 8))
     unit = {r[0]: np.array(r[3]) / np.linalg.norm(r[3]) for r in rows}
     for r in rows:
         if r[1] == 1:
@@ -202,7 +213,7 @@ def test_keys_and_blocking(spark):
     p = text.prepared(spark.createDataFrame(rows, "id long, source int, country string, name string, address string"))
     assert links(blocking.block(p)) == [(10_000_000_001, 20_000_000_001)]
     v = blocking.base_view(p)
-    k = {(r.id, r.k) for r in blocking.keys(v.where("source > 1"), blocking.token_df(v.where("source > 1")), "t").collect()}
+    k = {(r.id, r.k) for r in blocking.keys(v, blocking.token_df(v.where("source > 1"))).collect()}
     assert (20_000_000_003, "N1zed") in k and (20_000_000_001, "HA12|austin") in k and (20_000_000_001, "N1acme") not in k
 
 
@@ -214,11 +225,109 @@ def test_models(spark):
     ev = evaluate.auc(out, "p").first()
     assert out.count() == 400 and ev.auc > 0.95 and len(ms) == 2
     assert models.fold_average(ms, df, ["a", "b"], "q").where("q BETWEEN 0 AND 1").count() == 400
-    assert models.importances(ms[0], ["a", "b", "b_na"])[0][1] > 0
+    assert models.importances(ms[0], ["a", "b"])[0][1] > 0 and out.where("b IS NULL").count() == 45
     g = scorers.gate(out.withColumn("p1", F.col("p")))
     assert g.where("half NOT IN (0, 1)").count() == 0
 
 
+def test_stored_models_score_alike(spark, tmp_path):
+    rnd = random.Random(4)
+    df = spark.createDataFrame([(i, 1000 + i, rnd.random(), rnd.random() if i % 5 else None, i % 2) for i in range(200)], "s1 long, t long, a double, b double, y int")
+    _, ms = models.out_of_fold(df, ["a", "b"], "p", folds=2, rounds=3, depth=3)
+    models.save(spark, str(tmp_path), ms, ["a", "b"])
+    loaded, names = models.load(spark, str(tmp_path))
+    score = lambda m: sorted((r.s1, r.q) for r in models.fold_average(m, df, names, "q").collect())
+    assert score(loaded) == score(ms) and names == ["a", "b"]
+
+
+def test_row_sets_are_checked(spark):
+    a = spark.createDataFrame([(1, 2, 0.5), (3, 4, 0.7)], "s1 long, t long, ce double")
+    models.same_rows(a, a)
+    for other in (a.where("s1 = 1"), a.unionByName(a)):
+        with pytest.raises(ValueError, match="same pairs"):
+            models.same_rows(a, other)
+        with pytest.raises(Exception, match="not scored once"):
+            scorers.mean_of([a, other]).collect()
+
+
+def test_rescue(spark):
+    street = "12 bis rue de la République, Paris"
+    names = {1: "Foo Bar", 2: "Baz Qux", 3: "Zed Works", 4: "Nul Un", 5: "Claimed Co"}
+    rows = [(10_000_000_000 + i, 1, "fr", n, street) for i, n in names.items()]
+    rows += [(20_000_000_001, 2, "fr", "Foo Bar SARL", street), (20_000_000_002, 2, "fr", "Baz Qux", "14 rue de la République, Paris"), (20_000_000_003, 2, "fr", "Zed Works France", street), (20_000_000_004, 2, "fr", "Other Name", street), (20_000_000_005, 2, "fr", "Claimed Co", street)]
+    rec = spark.createDataFrame(rows, "id long, source int, country string, name string, address string")
+    scores = spark.createDataFrame([(10_000_000_000 + i, 20_000_000_000 + i, p) for i, p in ((1, 0.3), (2, 0.6), (3, 0.1), (4, 0.6), (5, 0.6))], PAIRS)
+    taken = spark.createDataFrame([(10_000_000_099, 20_000_000_005)], "s1 long, t long")
+    got = decide.rescue(scores, taken, rec, attrs.record_view(text.prepared(rec))).collect()
+    # 2: another number; 4: no word in common; 5: somebody's already
+    assert sorted((r.s1 % 100, r.t % 100, r.kind) for r in got) == [(1, 1, "lf_add"), (3, 3, "filler")]
+
+
+def test_decoding_leaves_a_target_one_query(spark):
+    df = spark.createDataFrame([(1, 10, 0.8, True), (2, 10, 0.9, False), (1, 11, 0.75, True), (3, 12, 0.71, False)], PAIRS + ", seen boolean")
+    assert links(decide.decode_seen(df)) == [(1, 11), (2, 10), (3, 12)]
+
+
+def test_bootstrap(spark):
+    rnd = random.Random(6)
+    d = [rnd.choice([0.0, 0.0, 0.2, -0.1]) for _ in range(400)]
+    a = spark.createDataFrame([(i, 0.5) for i in range(400)], "s1 long, f double")
+    b = spark.createDataFrame([(i, 0.5 + x) for i, x in enumerate(d)], "s1 long, f double")
+    r = evaluate.bootstrap(a, b).first()
+    se = np.std(d) / 20
+    assert abs(r.delta - np.mean(d)) < 4 * se / np.sqrt(200) + 1e-3 and 0.8 * se < r.se < 1.2 * se and r.low < np.mean(d) < r.high
+
+
+def test_missed_by_likeness(spark):
+    rows = [(1, 1, "Foo Bar", "1 Main St"), (2, 2, "Foo Bar", "1 Main St"), (3, 2, "Quite Unlike", "1 Main St"), (4, 2, "Foo Bar", "99 Elsewhere Avenue"), (5, 2, "foo.com", "x"), (6, 2, "राम", "x"), (7, 2, "Foo", " ")]
+    rec = spark.createDataFrame([(i, s, "c", n, a) for i, s, n, a in rows], "id long, source int, country string, name string, address string")
+    truth = spark.createDataFrame([(1, t) for t in range(2, 8)], "s1 long, t long")
+    got = {r.t: r.cat for r in evaluate.missed(truth, truth.limit(0), text.prepared(rec)).collect()}
+    assert got == {2: "similar", 3: "renamed", 4: "other address", 5: "domain", 6: "native script", 7: "empty address"}
+
+
+def test_auc_of_any_scale(spark):
+    rnd = random.Random(7)
+    rows = [(round(rnd.gauss(0, 5), 2), int(rnd.random() < 0.4)) for _ in range(500)] + [(0.0, 1), (-0.0, 0), (1e30, 1), (-1e30, 0)]
+    pos, neg = [p for p, y in rows if y], [p for p, y in rows if not y]
+    want = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / len(pos) / len(neg)
+    assert evaluate.auc(spark.createDataFrame(rows, "p double, y int"), "p").first().auc == pytest.approx(want)
+
+
+def test_tables_go_with_their_owner(spark):
+    from matchloom import storage
+
+    with storage.Tables(spark) as tables:
+        t = tables.write(spark.range(5))
+        path = t.inputFiles()[0].removeprefix("file://")
+        assert t.count() == 5 and Path(path).exists()
+    assert not Path(path).exists()
+
+
+def test_windows_of_a_stream(spark, tmp_path):
+    from matchloom import fixtures
+    from matchloom.streaming import incremental
+
+    e = fixtures.table(spark, "/root/testdata/sf0.001", "events")
+    e.write.parquet(str(tmp_path / "in"))
+    live = incremental.windowed_counts(spark.readStream.schema(e.schema).parquet(str(tmp_path / "in")))
+    live.writeStream.outputMode("complete").format("memory").queryName("live_windows").trigger(availableNow=True).start().awaitTermination()
+    key = lambda d: sorted((r.start, r.event_type, r.n, round(r.mean_value, 9)) for r in d.collect())
+    assert key(spark.table("live_windows")) == key(incremental.windowed_counts(e))
+
+
+def test_a_whole_job(spark, tmp_path):
+    from matchloom import fixtures
+    from matchloom.plans import linkage
+
+    rec = fixtures.part_records(spark, "/root/testdata/sf0.001")
+    config = linkage.LinkageConfig(folds=2, rounds=2, depth=2, rank_permille=1000)
+    scored = linkage.train(rec, fixtures.part_truth(rec), str(tmp_path), config)
+    new = linkage.apply(rec, str(tmp_path), config)
+    models.same_rows(scored, new)  # one score for each pair, and the same pairs
+    assert scored.where("p1 NOT BETWEEN 0 AND 1 OR p2 NOT BETWEEN 0 AND 1").isEmpty() and scored.select("fold").distinct().count() == 2
+
+
 def test_view_counts(spark):
     rows = [(10_000_000_001, 1, "us", "Acme", "1 A"), (20_000_000_001, 2, "us", "Acme", "1 A"), (20_000_000_002, 2, "us", "Acme", None)]
     v = attrs.record_view(text.prepared(spark.createDataFrame(rows, "id long, source int, country string, name string, address string")))
