@@ -1,40 +1,16 @@
-"""What the operators share: the shared folder, durable cuts in a plan, and batch bounds."""
+"""What the operators share: durable cuts in a plan, names of their own, and counts of words."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of text in one Arrow batch; a batch must fit a worker even if every text is very long.
-TEXT_BATCH_ROWS = 500
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor sees, as spark.checkpoint.dir names it.
-
-    Only where the session names none (tests, notebooks) a temporary folder is set.
-    """
-    sc = spark.sparkContext
-    set_dir = sc._jsc.sc().getCheckpointDir()
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    if named is None and set_dir.isDefined():
-        named = set_dir.get()
-    if named is None:
-        named = tempfile.mkdtemp(prefix="matchloom-")
-    if not set_dir.isDefined():
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
+from ..storage import shared_dir, written
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows as a table in the shared folder: lineage ends here, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/matchloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """The same rows as a table in the shared folder: lineage ends here, and lost executors cost nothing. The session owns it."""
+    return written(df)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -43,10 +19,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, for operators that pass whole texts to Python."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > TEXT_BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
+def own_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like those wanted that no column of df has, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -58,3 +39,13 @@ def words_count(text: str) -> F.Column:
     """Number of words `[^\\x20\\x09-\\x0D]+` of a text column, null and empty: 0, in the JVM."""
     t = F.coalesce(F.col(text), F.lit(""))
     return F.size(F.filter(F.split(t, "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")).cast("long")
+
+
+#: Rows of text in one Arrow batch.
+TEXT_BATCH_ROWS = 500
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Bound the rows of an Arrow batch, for operators that pass whole texts to Python."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > TEXT_BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
