@@ -17,7 +17,6 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
 
 #: Encodings of words, and of what stands between blanks, that a worker keeps: twice as many of each, at most.
 CACHE_ENTRIES = 1 << 19
@@ -157,8 +156,15 @@ def load(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+def _free(docs: DataFrame, out: str) -> None:
+    if out.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"docs has a column {out}: name another for the result")
+
+
 def bpe_encode(docs: DataFrame, tokenizer: str, text_col: str = "text", out: str = "token_ids") -> DataFrame:
-    """docs with a column of token ids (array<int>) of each whole text; null text: an empty array. Rows are never lost."""
+    """docs with a column of token ids (array<int>) of each whole text; null and empty text: an empty array. Rows are never lost,
+    repeated ones are encoded alike, an empty table gives none. A column `out` that docs has already is an error."""
+    _free(docs, out)
 
     @F.pandas_udf("array<int>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -166,12 +172,12 @@ def bpe_encode(docs: DataFrame, tokenizer: str, text_col: str = "text", out: str
         for b in batches:
             yield pd.Series([t.encode(x).astype(np.int32) for x in b])
 
-    text_batches(docs.sparkSession)
     return docs.withColumn(out, run(F.coalesce(F.col(text_col), F.lit(""))))
 
 
 def bpe_decode(docs: DataFrame, tokenizer: str, ids_col: str = "token_ids", out: str = "decoded") -> DataFrame:
-    """docs with the text that each array of ids decodes to; null: null."""
+    """docs with the text that each array of ids decodes to; null: null, no ids: the empty text. Rows as in bpe_encode."""
+    _free(docs, out)
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -179,7 +185,6 @@ def bpe_decode(docs: DataFrame, tokenizer: str, ids_col: str = "token_ids", out:
         for b in batches:
             yield pd.Series([None if x is None else t.decode(x) for x in b], dtype=object)
 
-    text_batches(docs.sparkSession)
     return docs.withColumn(out, run(F.col(ids_col)))
 
 
@@ -202,7 +207,6 @@ def bpe_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
             out["id"] = b["id"].to_numpy()
             yield out
 
-    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     made = rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, n long, i string, d string")
     return made.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), F.col("i").alias("ids_sha256"), F.col("d").alias("decoded_sha256"))

@@ -39,13 +39,3 @@ def words_count(text: str) -> F.Column:
     """Number of words `[^\\x20\\x09-\\x0D]+` of a text column, null and empty: 0, in the JVM."""
     t = F.coalesce(F.col(text), F.lit(""))
     return F.size(F.filter(F.split(t, "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")).cast("long")
-
-
-#: Rows of text in one Arrow batch.
-TEXT_BATCH_ROWS = 500
-
-
-def text_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, for operators that pass whole texts to Python."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > TEXT_BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))

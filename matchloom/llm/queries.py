@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from . import bpe, chat, licenses, lines, mixing, quality, simhash, toxicity, vectors, warc
 from .common import table
 
-#: Where the public tokenizers' files are, if not named by MATCHLOOM_TOKENIZERS.
-TOKENIZERS = "/opt/tokenizers"
-
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
-    return os.path.join(os.environ.get("MATCHLOOM_TOKENIZERS", TOKENIZERS), name)
+    """A public tokenizer's file: where MATCHLOOM_TOKENIZERS says, or as the package of public tokenizers has it."""
+    folder = os.environ.get("MATCHLOOM_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +45,8 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A record per page, written to packages and read back from them."""
     packages = warc.write_archives(table(spark, sf_dir, "pages", "page_id", "url", "html"))
-    return warc.read_archives(packages, payloads=False).drop("url")
+    read = warc.read_archives(packages, payloads=False)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

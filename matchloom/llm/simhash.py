@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_batches
+from .common import cut, own_names
 from .graph import connected_components
 
 BITS = 64
@@ -50,14 +51,14 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
 
 
 def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int = 4, seed: int = 42) -> DataFrame:
-    """Rows (id, fp): the fingerprint of each whole text as a signed 64-bit number; null text: as empty, 0."""
+    """Rows (id, fp), one per row of docs: the fingerprint of each whole text as a signed 64-bit number; null and empty texts: 0. Long
+    texts are counted in blocks of shingles, repeated rows alike; an empty table gives no rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = np.array([fingerprint(t, width, seed) for t in b["t"]], np.uint64).view(np.int64)
             yield pd.DataFrame({"id": b["id"], "fp": fp})
 
-    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     return rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, fp long")
 
@@ -87,17 +88,34 @@ def _ball(segment: int, key: F.Column, width: int, radius: int) -> F.Column:
     return F.transform(near, lambda m: F.struct(F.lit(segment).alias("s"), key.bitwiseXOR(m).alias("k"), (m == 0).alias("own")))
 
 
-def links(fps: DataFrame, radius: int = 4, parts: int = 3) -> DataFrame:
-    """Pairs (a, b) of different fingerprints that differ in at most `radius` bits, from distinct rows (fp); in buckets of
-    more than BUCKET rows only a forest that connects the same.
+def best_parts(n: int, radius: int) -> int:
+    """Segments for n fingerprints: what the search costs least with. A fingerprint asks for all values in each segment's ball, and
+    meets n / 2^width others at each. Few wide segments have large balls, many narrow ones crowded values: 3 segments suit some
+    10^6 fingerprints at radius 4, 2 from 10^8 on."""
+    cost = lambda parts: sum(sum(comb(w, r) for r in range(own + 1)) * (4 + n / 2.0**w) for _, w, own in segments(radius, parts))
+    return min(range(2, 6), key=cost)
+
+
+def connecting(fps: DataFrame, radius: int = 4, parts: int | None = None) -> DataFrame:
+    """Pairs (a, b) of fingerprints, from distinct rows (fp), that connect what those differing in at most `radius` bits connect.
 
     Multi-index hashing: each segment's value is a table; a fingerprint looks up every value in a small Hamming ball
     around its own, and whole distances are verified inside the join. A ball's mask is probed only by the side that has
-    0 at the mask's lowest bit, so that a pair is found from one side. Exact for any number of parts; fewer parts mean
-    wider segments, thus fewer false candidates and larger balls: 3 suit up to some 10^8 fingerprints, 2 suit more.
+    0 at the mask's lowest bit, so that a pair is found from one side. Exact for any number of parts. Values of more than
+    BUCKET rows give a forest, in proportion to their rows: it connects the same, so components don't depend on sizes.
     """
+    return _found(fps, radius, parts, True)
+
+
+def links(fps: DataFrame, radius: int = 4, parts: int | None = None) -> DataFrame:
+    """All pairs (a, b) of different fingerprints that differ in at most `radius` bits, whatever their number; see connecting."""
+    pairs = _found(fps, radius, parts, False)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _found(fps: DataFrame, radius: int, parts: int | None, forest: bool) -> DataFrame:
     entries, probes = [], []
-    for i, (shift, width, own) in enumerate(segments(radius, parts)):
+    for i, (shift, width, own) in enumerate(segments(radius, parts or best_parts(fps.count(), radius))):
         key = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
         entries.append(F.struct(F.lit(i).alias("s"), key.alias("k")))
         probes.append(_ball(i, key, width, own))
@@ -109,15 +127,15 @@ def links(fps: DataFrame, radius: int = 4, parts: int = 3) -> DataFrame:
     plain = asked.join(hot, key, "left_anti").join(tables.join(hot, key, "left_anti").hint("merge"), key).where(close).select("a", "b")
     if not hot.take(1):
         return plain
-    return plain.unionByName(_hot_links(asked.join(hot, key), tables.join(hot, key), radius))
+    return plain.unionByName(_hot_links(asked.join(hot, key), tables.join(hot, key), radius, forest))
 
 
-def _hot_links(asked: DataFrame, tables: DataFrame, radius: int) -> DataFrame:
-    """Links that connect what all links within large buckets connect, from rows with the bucket's size.
+def _hot_links(asked: DataFrame, tables: DataFrame, radius: int, forest: bool) -> DataFrame:
+    """Links within values of many rows, from rows with the value's size: all, or a forest that connects the same.
 
-    Both sides of a bucket are dealt into blocks of BUCKET rows or so, and each pair of blocks is compared by one task. It
-    returns no pairs but, for each fingerprint that is linked in it, the smallest that is linked to it within the two
-    blocks, directly or not: a forest, one row per fingerprint. So a dense bucket's output is in proportion to its rows.
+    Both sides of a value are dealt into blocks of BUCKET rows or so, and each pair of blocks is compared by one task. For a
+    forest it returns for each fingerprint that is linked in it the smallest that is linked to it within the two
+    blocks, directly or not: one row per fingerprint.
     """
     n = F.ceil(F.col("size") / BUCKET).cast("int")
     block = lambda c: F.pmod(F.xxhash64(c), n).cast("int")
@@ -128,6 +146,9 @@ def _hot_links(asked: DataFrame, tables: DataFrame, radius: int) -> DataFrame:
     def run(g: pd.DataFrame) -> pd.DataFrame:
         a, b = (g.loc[g["asks"] == side, "fp"].drop_duplicates().to_numpy(np.int64) for side in (True, False))
         near = np.bitwise_count(a.view(np.uint64)[:, None] ^ b.view(np.uint64)[None, :]) <= radius
+        if not forest:
+            i, j = np.nonzero(near & (a[:, None] != b[None, :]))
+            return pd.DataFrame({"a": a[i], "b": b[j]})
         nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
         ai, bi, root = at[: len(a)], at[len(a) :], np.arange(len(nodes))
         todo = near.any(axis=1)
@@ -149,7 +170,7 @@ def _hot_links(asked: DataFrame, tables: DataFrame, radius: int) -> DataFrame:
     return left.unionByName(right).groupBy("s", "k", "x", "y").applyInPandas(run, "a long, b long")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, width: int = 4, seed: int = 42, parts: int = 3) -> DataFrame:
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, width: int = 4, seed: int = 42, parts: int | None = None) -> DataFrame:
     """Rows (id_col, fingerprint, component_id), one per row of docs.
 
     component_id is the smallest id reachable by links. Copies share a fingerprint and are one node of the search, so
@@ -159,7 +180,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     marked = cut(with_fingerprints(docs, id_col, text_col, width, seed))
     nodes = cut(marked.groupBy("fp").agg(F.min("id").alias("least")))
-    found = connected_components(links(nodes.select("fp"), radius, parts))
+    found = connected_components(connecting(nodes.select("fp"), radius, parts))
     grouped = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     roots = grouped.groupBy("component").agg(F.min("least").alias("root"))
     named = grouped.join(roots, "component").select("fp", "root")
@@ -178,5 +199,6 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def kept(docs: DataFrame, components: DataFrame, id_col: str) -> DataFrame:
     """The rows of docs whose id is the smallest of its component, from rows (id_col, component_id)."""
-    keep = components.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    mark, = own_names(docs, "_kept")
+    keep = components.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(mark)).distinct()
+    return docs.join(keep, F.col(id_col).eqNullSafe(F.col(mark)), "left_semi")

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_batches
+from .common import cut
 from .simhash import fingerprint
 
 #: Bounds of what is learned from: documents of each label, and characters of a document that may be among them.
@@ -26,6 +26,8 @@ PRECISION = 0.9
 STEMS = (4, 5)
 #: Steps of gradient ascent, their size, and the weight of the penalty.
 STEPS, RATE, PENALTY = 60, 0.5, 3e-4
+#: Commonest words that tell something of their neighbours.
+NEIGHBOURS = 2000
 #: A token is part of an offending span at this marginal.
 SPAN = 0.5
 #: Words whose weights a worker keeps.
@@ -34,8 +36,9 @@ WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters, in lower case; each is a token."""
-    return WORD.findall(text.lower())
+    """Runs of letters, each a token in lower case. They are found in the text as it stands, as lower case may be longer: so
+    the same tokens give scores and offsets."""
+    return [w.lower() for w in WORD.findall(text)]
 
 
 def features(word: str) -> list[str]:
@@ -206,27 +209,61 @@ def toxic_features(docs: list[list[str]], labels: np.ndarray, family: np.ndarray
     return {f for f, t in toxic.items() if t > 2 and rate(f) >= PRECISION and _ratio(t, clean[f], nt, nn) >= EVIDENCE}
 
 
-def fit_model(texts: list[str], labels: list[int], prior: float = 0.5) -> Model:
+def fit_model(texts: list[str], labels: list[int], prior: float = 0.5, parts: int = 2) -> Model:
     """The model of labelled texts; prior: the share of toxic ones among all, of which texts may hold more.
 
-    No toxic or no clean text, or no word that tells them apart: a score near 0 for all.
+    What a score makes of marginals is learned from texts whose marginals come from a chain that didn't see them or their near
+    copies: families of texts are dealt into `parts`, and each part is read by the chain of the others. No toxic or no clean
+    text, or no word that tells them apart: a score near 0 for all.
     """
     docs, y = [words_of(t) for t in texts], np.array(labels, np.int64)
-    marks = toxic_features(docs, y, families(texts))
-    if not marks:
+    family = families(texts)
+    model = _chain(docs, y, family)
+    if model is None:
         return Model()
+    x, known = np.zeros((len(docs), 3)), np.zeros(len(docs), bool)
+    for k in range(parts):
+        rest = np.flatnonzero(family % parts != k)
+        own = np.flatnonzero(family % parts == k)
+        chain = _chain([docs[i] for i in rest], y[rest], family[rest]) if len(own) else None
+        if chain is not None:
+            x[own] = [_summary(p) for p in chain.marginals([docs[i] for i in own])]
+            known[own] = True
+    if len(set(y[known].tolist())) < 2:  # too few texts to be dealt
+        x, known = np.array([_summary(p) for p in model.marginals(docs)]), np.ones(len(docs), bool)
+    model.scale = _calibrated(x[known], y[known], prior)
+    return model
+
+
+def _calibrated(x: np.ndarray, y: np.ndarray, prior: float) -> np.ndarray:
+    """A penalised logistic regression of labels on texts' summaries, by Newton's steps; classes weigh as the prior has them."""
+    scale, weight = np.zeros(3), np.where(y == 1, prior / max(1, y.sum()), (1 - prior) / max(1, (1 - y).sum()))
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ scale, -30, 30)))
+        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(3)
+        scale = scale + np.linalg.solve(hess, x.T @ (weight * (y - p)) - 1e-4 * scale)
+    return scale
+
+
+def _chain(docs: list[list[str]], y: np.ndarray, family: np.ndarray) -> Model | None:
+    """The chain of labelled texts' tokens, fitted by Adam on the penalised likelihood; None if no word tells labels apart.
+
+    A neighbour's word is a feature if it is among the NEIGHBOURS commonest words.
+    """
+    marks = toxic_features(docs, y, family)
+    if not marks:
+        return None
     index: dict[str, int] = {}
     cols: list[list[int]] = []
-    target, first, doc_of = [], [], []
+    target, first = [], []
     count = Counter(f for words in docs for w in set(words) for f in features(w))
-    near = {w for w, k in count.most_common(2000) if not w.endswith("*")}
+    near = {w for w, k in count.most_common(NEIGHBOURS) if not w.endswith("*")}
     for d, words in enumerate(docs):
         for i, w in enumerate(words):
             fs = features(w)
             hit = y[d] and any(f in marks for f in fs)
             target.append(bool(hit))
             first.append(i == 0)
-            doc_of.append(d)
             row = [index.setdefault(f, len(index)) for f in fs if count[f] > 2]
             if i and words[i - 1] in near:
                 row.append(index.setdefault("<" + words[i - 1], len(index)))
@@ -244,7 +281,7 @@ def fit_model(texts: list[str], labels: list[int], prior: float = 0.5) -> Model:
     np.add.at(seen, (prev[inner].astype(int), goal[inner].astype(int)), 1)
     begun = np.bincount(goal[first].astype(int), minlength=2).astype(float)
     moments = [np.zeros(k + 7), np.zeros(k + 7)]
-    for step in range(1, STEPS + 1):  # Adam on the penalised likelihood; labels are rare, so gradients are scaled by their number
+    for step in range(1, STEPS + 1):  # labels are rare, so gradients are scaled by their number
         e = np.bincount(token, w[flat], n) + bias
         gamma, expected, expected_start = forward_backward(e, first, trans, start, pairs=True)
         error = goal - gamma
@@ -262,13 +299,6 @@ def fit_model(texts: list[str], labels: list[int], prior: float = 0.5) -> Model:
             model.right[f[1:]] = float(w[i])
         else:
             model.own[f] = float(w[i])
-    x = np.array([_summary(p) for p in model.marginals(docs)])
-    scale, weight = np.zeros(3), np.where(y == 1, prior / max(1, y.sum()), (1 - prior) / max(1, (1 - y).sum()))
-    for _ in range(50):  # Newton's steps of a penalised logistic regression
-        p = 1 / (1 + np.exp(-np.clip(x @ scale, -30, 30)))
-        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(3)
-        scale = scale + np.linalg.solve(hess, x.T @ (weight * (y - p)) - 1e-4 * scale)
-    model.scale = scale
     return model
 
 
@@ -327,7 +357,6 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
             out.insert(0, "id", b["id"].to_numpy())
             yield out
 
-    text_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     made = rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, score double, n_toxic long, spans array<struct<start:long,end:long>>")
     return made.withColumnRenamed("id", id_col)
@@ -336,11 +365,8 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
 def _spans(text: str, hot: np.ndarray) -> list[dict]:
     """Runs of marked tokens as character offsets into the text."""
     out: list[dict] = []
-    low = text.lower()
-    if len(low) != len(text):  # a few letters change length: offsets must be those of the text itself
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     previous = False
-    for mark, found in zip(hot.tolist(), WORD.finditer(low)):
+    for mark, found in zip(hot.tolist(), WORD.finditer(text)):
         if mark and previous:
             out[-1]["end"] = found.end()
         elif mark:

@@ -12,13 +12,21 @@ from pyspark.sql import functions as F
 from .common import cut
 from .graph import connected_components
 
-#: Hyperplanes of a table, and tables. At a cosine of 0.93 one plane keeps two vectors together with probability 0.88,
-#: so twenty tables of ten miss a pair with probability (1 - 0.88^10)^20 = 0.0015 at most.
-PLANES, TABLES = 10, 20
+#: Of a pair at the threshold, the chance to share no table; and the least hyperplanes of a table.
+MISS, PLANES = 0.0015, 10
 #: Rows of a bucket that one task compares with as many others.
 BLOCK = 512
 
 
+def layout(nodes: int, threshold: float, miss: float = MISS) -> tuple[int, int]:
+    """(planes, tables) for so many vectors that are compared: planes as many as leave a bucket BLOCK vectors or so on average, so
+    that work grows with the vectors and not with their square, and the tables that a pair at the threshold then needs. At a
+    cosine of 0.93 one plane keeps two vectors together with probability 0.88: twenty tables of ten planes, 47 of 16."""
+    together = 1 - np.arccos(min(1.0, threshold)) / np.pi
+    planes = max(PLANES, int(np.ceil(np.log2(max(1, nodes) / BLOCK))))
+    return planes, int(np.ceil(np.log(miss) / np.log1p(-(together**planes))))
+
+
 def _sound(v: str) -> F.Column:
     """Not null, no null or non-finite component, not zero."""
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -37,7 +45,8 @@ def _codes(nodes: DataFrame, planes: int, tables: int, seed: int) -> DataFrame:
                 if d not in normals:
                     normals[d] = np.random.default_rng((seed, int(d))).standard_normal((int(d), planes * tables))
                 at = np.flatnonzero(sizes == d)
-                sides = np.stack(b.to_numpy()[at]).astype(np.float64) @ normals[d] > 0
+                x = np.stack(b.to_numpy()[at]).astype(np.float64)
+                sides = (x / np.abs(x).max(axis=1, keepdims=True)) @ normals[d] > 0
                 codes = sides.reshape(len(at), tables, planes) @ (1 << np.arange(planes))
                 for i, c in zip(at, codes.astype(np.int32)):
                     out[i] = c
@@ -60,6 +69,7 @@ def _verify(g: pd.DataFrame, threshold: float) -> pd.DataFrame | None:
     and blocks; other: the smallest id of those linked within the group, directly or not.
     """
     x = np.stack(g["v"].to_numpy()).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)  # squares of large components would overflow
     x /= np.sqrt((x * x).sum(axis=1))[:, None]
     near = x @ x.T >= threshold
     np.fill_diagonal(near, False)
@@ -115,7 +125,7 @@ def _links(entries: DataFrame, threshold: float) -> DataFrame:
     return entries.mapInPandas(run, "id long, n long, other long")
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, planes: int = PLANES, tables: int = TABLES, seed: int = 7) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, planes: int | None = None, tables: int | None = None, seed: int = 7) -> DataFrame:
     """Rows (id_col, n_links, component_id, kept), one per row of vectors with an id.
 
     Vectors of equal labels and lengths are linked if their cosine, in double precision, is at least the threshold and
@@ -123,12 +133,17 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     label is null, links with nothing. Equal vectors are one node with a count, so a group of copies of any size is one
     row of the search; rows that repeat an id count as vectors of their own. A bucket of many nodes is dealt as pairs of
     blocks, of which each task compares two at a time; what a task returns is counts and one link per node, never pairs.
-    Rows with a null id are left out: a link needs an id. An empty table gives no rows; other columns play no part.
+    Rows with a null id are left out: a link needs an id. An empty table gives no rows; other columns play no part. Planes
+    and tables follow from the largest label's vectors (see layout), unless they are given.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.col(label_col).alias("label")).where("id IS NOT NULL")
     rows = rows.withColumn("ok", _sound("v") & F.col("label").isNotNull())
     nodes = rows.where("ok").groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("m"))
-    nodes = cut(_codes(nodes, planes, tables, seed).withColumn("part", F.struct("label", F.size("v"))))
+    nodes = cut(nodes.withColumn("part", F.struct("label", F.size("v"))))
+    if planes is None or tables is None:
+        most = nodes.groupBy("part").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        planes, tables = layout(most, threshold)
+    nodes = cut(_codes(nodes, planes, tables, seed))
     narrow = nodes.select("part", F.posexplode("codes").alias("t", "code"))
     hot = cut(narrow.groupBy("part", "t", "code").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK))
     entries = nodes.select("part", "id", "m", "v", "codes", F.posexplode("codes").alias("t", "code"))

@@ -48,8 +48,14 @@ def test_fingerprint():
         assert simhash.fingerprint(t) == slow_fingerprint(t)
 
 
-@pytest.mark.parametrize("parts", [2, 3, 5])
-def test_links_are_exact(spark, parts):
+def test_segments_follow_the_count():
+    assert simhash.best_parts(1000, 4) >= simhash.best_parts(10**6, 4) >= simhash.best_parts(10**10, 4) == 2
+
+
+@pytest.mark.parametrize("bucket", [4, 512])
+@pytest.mark.parametrize("parts", [2, 3, 5, None])
+def test_links_are_exact(spark, parts, bucket, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
     rnd = random.Random(parts)
     base = [rnd.getrandbits(64) for _ in range(60)]
     fps = {0, 1, (1 << 64) - 1} | set(base)
@@ -83,10 +89,12 @@ def test_large_buckets_keep_the_components(spark, monkeypatch):
     f, z = [fps[i] for i in order], [signed[i] for i in order]
     pairs = [(i, j) for i in range(len(f)) for j in range(i) if bin(f[i] ^ f[j]).count("1") <= 4]
     want = union(len(f), pairs)
-    found = simhash.links(spark.createDataFrame([(x,) for x in z], "fp long"), 4, 3)
-    got = {r.node: r.component for r in graph.connected_components(found).collect()}
+    frame = spark.createDataFrame([(x,) for x in z], "fp long")
     linked = {i for p in pairs for i in p}
-    assert got == {z[i]: z[want[i]] for i in linked}
+    for bucket in (8, 512):  # the same on both sides of the limit
+        monkeypatch.setattr(simhash, "BUCKET", bucket)
+        got = {r.node: r.component for r in graph.connected_components(simhash.connecting(frame, 4, 3)).collect()}
+        assert got == {z[i]: z[want[i]] for i in linked}
 
 
 def test_segments_are_enough():
@@ -146,6 +154,19 @@ def test_vectors(spark, monkeypatch, block):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_any_length(spark):
+    rows = [(1, [1e200, 1e200, 0.0], 0), (2, [1e200, 1.1e200, 0.0], 0), (3, [1e-200, 1e-200, 0.0], 0), (4, [0.0, 0.0, 1e300], 0)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4)}
+
+
+def test_tables_follow_the_count():
+    for n in (1000, 10**6, 10**9):
+        planes, tables = vectors.layout(n, 0.93)
+        assert n / 2**planes <= vectors.BLOCK and (1 - (1 - np.arccos(0.93) / np.pi) ** planes) ** tables <= vectors.MISS
+    assert vectors.layout(1000, 0.93)[0] == 10
+
+
 def slow_shingles(text, width=5):
     words = (text or "").lower().split()
     return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()

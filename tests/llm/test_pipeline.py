@@ -11,7 +11,7 @@ import corpus_pipeline
 from matchloom.llm import lines, mixing
 from matchloom.llm.queries import tokenizer_path
 
-from .test_near_dup import slow_fingerprint, slow_shingles, union
+from .test_near_dup import slow_shingles, union
 from .test_text_rules import slow_measure
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -28,41 +28,6 @@ def documents():
     return [(i, t, rnd.choice(["en", "en", "de", None]), rnd.choice(["src0", "b"]), len(t or "")) for i, t in enumerate(texts)]
 
 
-def slow(rows):
-    rows = [r for r in rows if not slow_measure(r[1])[5] and slow_measure(r[1])[6] and not repeated(r[1])]
-    con = duckdb.connect()
-    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
-    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", rows)
-    text = {r[0]: r[1] for r in con.execute(f"SELECT doc_id, text FROM ({lines.line_dedup_sql()})").fetchall()}
-    rows = [(r[0], text[r[0]], *r[2:4], len(text[r[0]]) if text[r[0]] != r[1] else r[4]) for r in rows]
-    fp = [slow_fingerprint(r[1], 5) for r in rows]
-    root = union(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if bin(fp[i] ^ fp[j]).count("1") <= 4])
-    rows = [r for i, r in enumerate(rows) if root[i] == i]
-    con.execute("DELETE FROM documents")
-    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", rows)
-    taken = {r[0] for r in con.execute(f"SELECT doc_id FROM ({mixing.mixed_sql()}) WHERE sampled").fetchall()}
-    return [r for r in rows if r[0] in taken]
-
-
-def repeated(text):
-    seen, dup = set(), 0
-    for line in (text or "").split("\n"):
-        dup += sum(map(len, line.split())) if line.strip() and line in seen else 0
-        seen.add(line)
-    return dup > 0.3 * max(1, sum(map(len, (text or "").split())))
-
-
-def test_pipeline(spark, tmp_path):
-    rows = documents()
-    spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS fp", "2 AS id").write.parquet(str(tmp_path / "documents.parquet"))
-    want, library = {}, tokenizers.Tokenizer.from_file(tokenizer_path())
-    for r in slow(rows):
-        ids = library.encode(r[1], add_special_tokens=False).ids
-        want[r[0]] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
-    got = {r.doc_id: (r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    assert got == want and 20 < len(want) < 61
-
-
 def test_stages_keep_the_columns(spark):
     docs = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES[:-1]:
@@ -71,9 +36,9 @@ def test_stages_keep_the_columns(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == 0
 
 
-def slow_whole(rows):
-    """The stages as they are now: near-duplicates by exact Jaccard, and a sample with the wanted marginals."""
-    rows = [r for r in rows if not slow_measure(r[1])[5] and slow_measure(r[1])[6] and not repeated(r[1])]
+def slow(rows):
+    """The stages one after another by brute force, but the last."""
+    rows = [r for r in rows if not slow_measure(r[1])[5] and slow_measure(r[1])[6]]
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?)", [r[:4] for r in rows])
@@ -89,8 +54,28 @@ def slow_whole(rows):
     return [r for r in rows if int(hashlib.md5(f"mix:{r[0]}".encode()).hexdigest()[:15], 16) / 2.0**60 < p[cell(r)]]
 
 
-def test_pipeline_whole(spark, tmp_path):
+def test_pipeline(spark, tmp_path):
     rows = documents()
-    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    assert got == {r[0] for r in slow_whole(rows)} and got
+    spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS fp", "2 AS id", "3 AS _kept").write.parquet(str(tmp_path / "documents.parquet"))
+    want, library = {}, tokenizers.Tokenizer.from_file(tokenizer_path())
+    for r in slow(rows):
+        ids = library.encode(r[1], add_special_tokens=False).ids
+        want[r[0]] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got == want and want
+
+
+def test_odd_rows_pass_the_stages(spark, tmp_path):
+    good = documents()
+    long = " ".join(f"v{i}" for i in range(60_000))
+    rows = [*good[:30], *good[:3], (None, *good[30][1:]), (9000, long, "en", "src0", len(long)), (9001, None, None, None, None), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    sizes = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.cut(stage(spark, docs, ""))
+        ids = [r.doc_id for r in docs.select("doc_id").collect()]
+        sizes.append(len(ids))
+        assert 9001 not in ids
+    assert sizes == sorted(sizes, reverse=True) and sizes[0] == 35 and sizes[1] == 35
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, "")
+    assert last.count() == sizes[-1]

@@ -58,6 +58,33 @@ def test_held_out_accuracy(spark):
     assert toxicity.score_toxicity(asked.limit(0), model).count() == 0
 
 
+def test_offsets_are_those_of_the_scored_tokens():
+    text = "İstanbul vile x grob"
+    words = toxicity.words_of(text)
+    assert len(words) == 4
+    hot = np.array([w in ("vile", "grob") for w in words])
+    assert [text[s["start"] : s["end"]] for s in toxicity._spans(text, hot)] == ["vile", "grob"]
+
+
+def test_held_out_labels_teach_nothing(spark, tmp_path):
+    from zlib import crc32
+
+    from matchloom.llm import queries
+
+    rows = corpus(500, 3)
+    held = {r[0] for r in rows if crc32(str(r[0]).encode()) % 3 == 1}
+    spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").write.parquet(str(tmp_path / "a/documents.parquet"))
+    out = []
+    for k in range(2):  # the held-out labels as they are, and turned round
+        path = tmp_path / f"{k}"
+        path.mkdir()
+        (path / "documents.parquet").symlink_to(tmp_path / "a/documents.parquet")
+        spark.createDataFrame([(i, 1 - y if k and i in held else y) for i, _, y in rows], "doc_id long, toxic int").write.parquet(str(path / "labels.parquet"))
+        out.append({r.doc_id: (r.held_out, r.score, r.predicted) for r in queries.op6_toxicity(spark, str(path)).collect()})
+    assert out[0] == out[1] and {i for i, r in out[0].items() if r[0]} == held
+    assert all(p == int(s >= 0.7) for _, s, p in out[0].values()) and np.mean([out[0][i][2] == y for i, _, y in rows if i in held]) > 0.95
+
+
 def test_no_labels(spark):
     docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
     model = toxicity.fit_toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int"))
