@@ -50,7 +50,7 @@ def _probabilities(rows, *columns):
 HOLDS = {
     "c22_extended_profile": lambda rows: len(rows) == len({r.id for r in rows}) == 200 and any(r.country == "fr" for r in rows),
     "d21_ranker": lambda rows: _pairs_once(rows) and all(r.rrank <= 30 for r in rows) and _probabilities(rows, "rs"),
-    "f1_string_scores": lambda rows: _pairs_once(rows) and all(0 <= r[c] <= 100 for r in rows for c in r.asDict() if c not in ("s1", "t")) and all(r.ns_part >= r.ns_ratio - 1e-6 for r in rows),
+    "f1_string_scores": lambda rows: _pairs_once(rows) and all(0 <= r[c] <= 100 for r in rows for c in r.asDict() if c not in ("s1", "t")) and all(r.ns_ratio < 100 or r.ns_tset == r.ns_tsort == r.ns_part == 100 for r in rows),
     "h1_out_of_fold": lambda rows: _pairs_once(rows) and _probabilities(rows, "p_oof") and {r.fold for r in rows} == {0, 1, 2, 3},
     "h3_fold_average": lambda rows: _pairs_once(rows) and _probabilities(rows, "p"),
     "j12_rescue": lambda rows: _one_query_each(rows) and {r.kind for r in rows} <= {"filler", "lf_add", "same_name"},
