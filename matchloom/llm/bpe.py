@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 
 #: Encodings of words, and of what stands between blanks, that a worker keeps: twice as many of each, at most.
-CACHE_ENTRIES = 1 << 19
+CACHE_ENTRIES = 1 << 18
 #: Blanks for str.split() but not for the tokenizer.
 ODD_BLANKS = re.compile("[\x1c-\x1f]")
 

@@ -2,15 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import shared_dir, written
 
 
+#: Rows of an Arrow batch where tables are written: fewer texts at a time in the JVM's buffers and in Python. No row goes.
+BATCH_ROWS = 500
+
+
+@contextmanager
+def text_batches(spark: SparkSession) -> Iterator[None]:
+    """Smaller Arrow batches for what is run within; the session's own setting is back afterwards, and holds if it is smaller."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if int(before) <= 0 or int(before) > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows as a table in the shared folder: lineage ends here, and lost executors cost nothing. The session owns it."""
-    return written(df)
+    with text_batches(df.sparkSession):
+        return written(df)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
