@@ -343,3 +343,21 @@ def test_records_are_merged_with_pairs_not_broadcast(spark):
     for df, sides in ((weighed, "id"), (p, "s1 t")):  # by files' sizes millions of records look small
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("rightHint=(strategy=merge)") >= len(sides.split()), plan
+
+
+def test_dense_copies_cost_k_rows(spark, monkeypatch):
+    best = dense._best
+    monkeypatch.setattr(dense, "_best", lambda sims, *a: best(sims, *a) if sims.shape[0] <= 4 and sims.shape[1] <= 4 * 3 else 1 / 0)
+    vs = [[1.0, 0.0], [0.0, 2.0], [1.0, 1.0], [0.0, 0.0]]
+    rows = [(i, 1 if i % 3 == 0 else 2, "a", vs[i // 3 % 4]) for i in range(600)]
+    got = dense.top_k_cosine(spark.createDataFrame(rows, "id long, source int, country string, v array<double>"), 3).collect()
+    cos = lambda a, b: round(sum(x * y for x, y in zip(a, b)) / max(sum(x * x for x in a) * sum(y * y for y in b), 1e-300) ** 0.5, 9)
+    want = {(s, t[1], -t[0], n) for s, kind, _, a in rows if kind == 1 for n, t in enumerate(sorted((-cos(a, b), t) for t, kind, _, b in rows if kind == 2)[:3], 1)}
+    assert {(r.s1, r.t, r.dscore, r.drank) for r in got} == want and len(got) == 600
+
+
+def test_best_of_a_row():
+    sims = np.array([[0.5, np.nan, 0.5000000001, 0.9, 0.5], [np.nan, np.nan, -1.0, np.nan, 0.25]])
+    at, score = dense._best(sims, 3, 9)
+    assert at.tolist() == [[3, 0, 2], [4, 2, 0]] and score[0].tolist() == [0.9, 0.5, 0.5] and np.isnan(score[1, 2])
+    assert dense._best(sims[:1, :2], 3, 9)[0].tolist() == [[0, 1]]
