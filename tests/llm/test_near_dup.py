@@ -206,3 +206,46 @@ def test_overlap_ids(spark):
     assert sorted(got, key=str) == [(7, 7), (7, 7), (None, 7), (None, 7)]
     got = overlap.overlap_components(spark.createDataFrame(rows[:2], "doc_id long, text string")).collect()
     assert [tuple(r) for r in got] == [(None, None)] * 2
+
+
+def test_ties_are_those_of_fingerprints(spark, monkeypatch):
+    rnd = random.Random(8)
+    size, width, number = 400, 8, 6
+    centres = [[rnd.getrandbits(1) for _ in range(width * number + overlap.CHECK)] for _ in range(40)]
+    bits = [[b ^ (rnd.random() < rnd.choice([0.02, 0.1, 0.16, 0.2])) for b in centres[rnd.randrange(40) if i % 3 else 0]] for i in range(size)]
+    value = lambda x: int("".join(map(str, x)), 2)
+    segs = [[value(x[i : i + width]) for i in range(0, width * number, width)] for x in bits]
+    check = [value(x[width * number :]) for x in bits]
+    pairs = [(i, j) for i in range(size) for j in range(i) if any(map(int.__eq__, segs[i], segs[j])) and (check[i] ^ check[j]).bit_count() <= overlap.RADIUS]
+    want = union(size, pairs)
+    signed = lambda x: x - (x >> 63 << 64)
+    rows = [(i, segs[i], signed(check[i] >> 64), signed(check[i] & (1 << 64) - 1)) for i in range(size)] + [(size, [], 0, 0), (size + 1, [], 0, 0)]
+    nodes = spark.createDataFrame(rows, "fp long, segs array<int>, c long, d long")
+    counts = []
+    for bucket, edges in ((1 << 20, 1 << 20), (7, 1 << 20), (1 << 20, 50)):  # compared where they are sorted, by pairs of blocks; thinned in parts
+        monkeypatch.setattr(overlap, "BUCKET", bucket)
+        monkeypatch.setattr(overlap, "EDGES", edges)
+        found = [tuple(r) for r in overlap.ties(nodes).collect()]
+        assert union(size, found) == want
+        counts.append(len(found))
+    assert counts[0] <= number * size < len(pairs) * 2
+
+
+def test_fingerprints_of_similar_sets():
+    rnd = np.random.default_rng(3)
+    for n in (10**2, 10**5, 10**9):
+        width, number = overlap.layout(n)
+        assert (1 - (1 - overlap.DIFFER) ** width) ** number <= overlap.MISS and width * number + overlap.CHECK <= 64 * 512
+    width, number = overlap.layout(50_000)
+    found, apart = 0, 0
+    far = lambda x, y: sum(((p ^ q) & (1 << 64) - 1).bit_count() for p, q in zip(x[1:], y[1:]))
+    for i in range(300):
+        n = [10, 15, 50, 300, 600][i % 5]
+        drawn = [np.unique(rnd.integers(0, 1 << 63, n, np.uint64)) for _ in range(2)]
+        gone = rnd.permutation(n)[: n // 5]
+        both = drawn[0], np.delete(drawn[0], gone)  # Jaccard of 0.8 exactly
+        x, y, z = (overlap.signature(s, width, number) for s in (*both, drawn[1]))
+        found += far(x, y) <= overlap.RADIUS and any(p == q for p, q in zip(x[0], y[0]))
+        apart += far(x, z) > overlap.RADIUS
+    assert found >= 298 and apart >= 299
+    assert overlap.signature(drawn[0][:0], width, number) == ([], 0, 0)
